@@ -12,6 +12,8 @@ scored one by one; without positive labels every score is the prior's; extra col
 from __future__ import annotations
 
 import math
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +30,13 @@ BITS, BEGINNING, STEPS, RATE, RIDGE = 20, 5, 600, 0.05, 1e-5
 #: many standard errors.
 LEAST_DOCS, LEAST_ERRORS = 6, 4.0
 THRESHOLD = 0.7
+_WORDS = re.compile(r"\w+")
 _MASK = (1 << BITS) - 1
-_TABLES: dict[int, Memo] = {}
+_TABLES: dict[str, Memo] = {}
 
 
 def words(text: str) -> set[str]:
-    import re
-
-    return set(re.findall(r"\w+", text.lower()))
+    return set(_WORDS.findall(text.lower()))
 
 
 def slots(word: str) -> tuple[int, ...]:
@@ -110,17 +111,17 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = len(docs.columns)
+    place, names, key = len(docs.columns), [*docs.columns, "score", "predicted"], uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        value = _TABLES.get(sent._jid if hasattr(sent, "_jid") else id(sent))
-        if value is None:
-            value = Memo(lambda w: sum([weights.get(s, 0.0) for s in slots(w)]), 400_000, longest=64)
+        if (value := _TABLES.get(key)) is None:
+            _TABLES.clear()  # a worker keeps the words of one model
+            value = _TABLES[key] = Memo(lambda w: sum([weights.get(s, 0.0) for s in slots(w)]), 400_000, longest=64)
         for b in batches:
             z = np.array([bias + math.fsum(map(value.__getitem__, words(t))) for t in b.column(place).to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*docs.columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double, predicted int"])
     return docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, pii, token_store, toxicity
+from . import decontaminate, lines, neighbours, passages, pieces, pii, simhash, token_store, toxicity
 from .common import crc_mod, read_table
 
 #: The end id of op7.
@@ -19,10 +19,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -30,6 +42,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), held, "score", "predicted")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), END_ID)
     return token_store.read(manifest, with_ids=False)
@@ -39,10 +56,37 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.usable(read_table(spark, sf_dir, "embeddings"))
+    return neighbours.MultiIndex(rows).search(rows.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_passages": op4_passages,
     "op5_toxicity": op5_toxicity,
+    "op6_simhash": op6_simhash,
     "op7_token_store": op7_token_store,
     "op8_pii": op8_pii,
+    "op10_neighbours": op10_neighbours,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": lines.SQL + """
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN lost.c IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text,
+               CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(lost.c, 0) AS n_dropped
+        FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+    """,
+    "op2_decontaminate": decontaminate.SQL,
+    "op10_neighbours": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        p AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v) AS score
+              FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}

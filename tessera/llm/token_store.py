@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,49 +39,73 @@ _ENCODERS: dict[str, "BlockEncoder"] = {}
 class BlockEncoder:
     """Encodes with the tokenizers library; words seen before come from a bounded memo.
 
-    A byte-level pre-tokenizer always cuts before a single blank between two other characters, so text is encoded word by
-    word with the same result. Texts that may hold special tokens go to the library whole.
+    A byte-level pre-tokenizer always cuts before a single blank between two other characters, and between letters, a full
+    stop or comma, and a line feed; so text is encoded by such parts with the same result. Texts that may hold special
+    tokens, and words next to more than one blank, go to the library as they are.
     """
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.letters = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        #: For runs of letters, which the pre-tokenizer's pattern leaves whole.
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.new, self.old = most, {}, {}
-        self.odd, self.cut = re.compile(r" \s|\s |^ | $"), re.compile(r"(?<=\S) (?=\S)")
+        self.marks = dict(zip(marks := [".", ",", "\n", ".\n", ",\n"], self._raw(self.tokenizer, marks), strict=True))
         gc.set_threshold(200_000, 50, 1000)
 
-    def _words(self, text: str) -> list[str]:
-        first, *rest = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _raw(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of words as they are after a blank; where a full stop, comma or line feed follows letters, by parts."""
+        new, old, whole, odd, parts = self.new, self.old, [], [], []
+        for w in missing:
+            if (found := old.get(w)) is not None:
+                new[w] = found
+            elif w.isalpha():
+                whole.append(w)
+            else:
+                head, feed, tail = w.partition("\n")
+                mark = head[-1:] if head[-1:] in (".", ",") else ""
+                head = head[: len(head) - len(mark)]
+                if head.isalpha() and (tail.isalpha() or not feed):
+                    parts.append((w, head, mark + feed, tail))
+                else:
+                    odd.append(w)
+        whole += {head for _, head, _, _ in parts if head not in new and head not in old}.difference(whole)
+        tails = list({tail for *_, tail in parts if tail})
+        new.update(zip(whole, self._raw(self.letters, [" " + w for w in whole]), strict=True))
+        new.update(zip(odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True))
+        bare = dict(zip(tails, self._raw(self.letters, tails), strict=True)) | {"": b""}
+        for w, head, mark, tail in parts:
+            new[w] = (new[head] if head in new else old[head]) + self.marks[mark] + bare[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        whole = [any(s in t for s in self.special) for t in texts]
-        words = [None if w else self._words(t) for t, w in zip(texts, whole, strict=True)]
-        missing: set[str] = set()
-        for doc in words:
-            if doc:
-                missing.update([w for w in doc if w not in new])
-        for w in [w for w in missing if w in old]:
-            new[w] = old[w]
-            missing.discard(w)
-        short = [w for w in missing if len(w) <= 64]
-        once = dict(zip(long := [w for w in missing if len(w) > 64], self._raw(long), strict=True)) if len(short) < len(missing) else {}
-        new.update(zip(short, self._raw(short), strict=True))
-        if once:
-            return [self._raw([t])[0] if d is None else b"".join([once[w] if w in once else new[w] for w in d]) for t, d in zip(texts, words, strict=True)]
-        return [self._raw([t])[0] if d is None else b"".join(map(new.__getitem__, d)) for t, d in zip(texts, words, strict=True)]
+        new, missing = self.new, set()
+        words: list[list[str] | None] = []
+        for text in texts:
+            first, *rest = text.split(" ")
+            unseen = [w for w in rest if w not in new]
+            if any(s in text for s in self.special) or first[-1:].isspace() or (rest and not first) or not all(unseen) or any([w[0].isspace() or w[-1].isspace() for w in unseen]):
+                words.append(None)
+            else:
+                missing.update(unseen)
+                words.append([first, *rest])
+        self._learn(missing)
+        firsts = iter(self._raw(self.tokenizer, [t if d is None else d[0] for t, d in zip(texts, words, strict=True)]))
+        out = [next(firsts) if d is None else next(firsts) + b"".join(map(new.__getitem__, d[1:])) for d in words]
+        for w in [w for w in missing if len(w) > 64]:
+            new.pop(w, None)
+        return out
 
 
 def encoder(file: str) -> BlockEncoder:

@@ -6,15 +6,18 @@ finds at a position, checks it against the piece before, and falls back to the n
 from which there is no way on are marked in a bitfield and never tried again. Work is linear in the text.
 
 Defined results: a null text is an empty text; an empty text has no ids and decodes to an empty text. Texts of any length
-are encoded whole. Extra input columns are ignored by the query, kept by `encode_documents`.
+are encoded whole. Extra input columns are
+ignored by `digests` and kept by `encode_documents`.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -179,15 +182,15 @@ class PieceCodec:
             out.append(_utf8(raw))
         return "".join(out)
 
-    def parts(self, text: str | None) -> list[tuple[str, int, str]]:
-        """For each word with the blanks before it: ids as text, their number, what they decode to."""
+    def parts(self, text: str | None) -> list[tuple[str, int, str, bytes]]:
+        """For each word with the blanks before it: ids as text, their number, what they decode to, ids as 32-bit integers."""
         if not text:
             return []
         return list(map(self.memo.__getitem__, self.chunks.findall(SPACE + text.replace(" ", SPACE))))
 
-    def _known(self, chunk: str) -> tuple[str, int, str]:
+    def _known(self, chunk: str) -> tuple[str, int, str, bytes]:
         ids = self._chunk(chunk)
-        return ",".join(map(self.digits.__getitem__, ids)), len(ids), self._surface(ids)
+        return ",".join(map(self.digits.__getitem__, ids)), len(ids), self._surface(ids), array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -223,23 +226,27 @@ def codec(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def encode_documents(docs: DataFrame, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with `keep` (default: all) columns, n_tokens, ids (array<int>) and decoded."""
+def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
+    """docs without text (its other columns pass through), with n_tokens, ids (array<int>) and round_trip: whether they decode to the text."""
     bounded_batches(docs.sparkSession)
-    keep = [c for c in docs.columns] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens long, ids array<int>, decoded string"])
+    source = docs.drop("n_tokens", "ids", "round_trip", "text").select("*")
+    names, types = source.columns, [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for b in batches:
-            ids = [c.encode(x) for x in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())],
-                names=[*keep, "n_tokens", "ids", "decoded"],
-            )
+            n, ids, same = [], [], []
+            for text in b.column(len(names)).to_pylist():
+                parts = c.parts(text)
+                n.append(sum([p[1] for p in parts]))
+                ids += [p[3] for p in parts]
+                same.append("".join([p[2] for p in parts])[1:] == text)
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), values, pa.array(same, pa.bool_())], names=[*names, "n_tokens", "ids", "round_trip"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, ", ".join([*types, "n_tokens long, ids array<int>, round_trip boolean"]))
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:

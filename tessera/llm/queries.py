@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, neighbours, passages, pieces, pii, simhash, token_store, toxicity
+from . import decontaminate, language_model, lines, neighbours, passages, pieces, pii, simhash, token_store, toxicity
 from .common import crc_mod, read_table
 
 #: The end id of op7.
@@ -56,6 +56,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neighbours.usable(read_table(spark, sf_dir, "embeddings"))
     return neighbours.MultiIndex(rows).search(rows.where("vec_id % 20 = 0"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_token_store": op7_token_store,
     "op8_pii": op8_pii,
+    "op9_language_model": op9_language_model,
     "op10_neighbours": op10_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {

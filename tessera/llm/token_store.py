@@ -86,6 +86,14 @@ class BlockEncoder:
         for w, head, mark, tail in parts:
             new[w] = (new[head] if head in new else old[head]) + self.marks[mark] + bare[tail]
 
+    def after_blank(self, words: list[str]) -> list[bytes]:
+        """Ids of different words as they are after a blank, without the memo."""
+        plain = [w for w in words if w.isalpha()]
+        ids = dict(zip(plain, self._raw(self.letters, [" " + w for w in plain]), strict=True))
+        odd = [w for w in words if w not in ids]
+        ids.update(zip(odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True))
+        return [ids[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.new) >= self.most:

@@ -51,6 +51,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     alike, _ = materialize(alike, "templates")
     named = lambda df: df.join(alike, ["leaf", "pattern"], "left").withColumn("template", F.coalesce("anchor", "pattern"))
     recurring = named(patterns).groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id < last").select("leaf", "template", "first")
+    recurring, _ = materialize(recurring, "recurring")  # so that the next join can split a hot template
     gone = named(keys).join(recurring, ["leaf", "template"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     return gone.groupBy("doc_id").agg(F.collect_set("at").alias("drop"))
 
@@ -60,7 +61,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     drop, _ = materialize(dropped_lines(docs), "drops")
     drop = drop.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    both = docs.join(drop, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    both = docs.join(drop.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     parts = F.split("text", "\n")
     rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(rest)

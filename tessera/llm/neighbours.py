@@ -198,7 +198,9 @@ class MultiIndex:
                             rows[name].append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(rows["i"], pa.int32()), pa.array(rows["query_id"], pa.int64()), pa.array(rows["v"], pa.list_(pa.float64())), pa.array(rows["js"], pa.list_(pa.int32()))], names=list(rows))
 
-        planned, _ = materialize(queries.select("vec_id", "v").distinct().mapInArrow(plan, "i int, query_id long, v array<double>, js array<int>"), "probes")
+        asking, _ = materialize(queries.select("vec_id", "v").distinct(), "queries")
+        tasks = min(10_000, max(1, -(-asking.count() // 64)))  # by work: few bytes a row, much to go through
+        planned, _ = materialize(asking.repartition(tasks).mapInArrow(plan, "i int, query_id long, v array<double>, js array<int>"), "probes")
         asked = {r["i"]: r["count"] for r in planned.groupBy("i").count().collect()}
         tiles = [(i, max(1, -(-int(self.counts[i].sum()) // TILE_ENTRIES)), max(1, -(-asked.get(i, 0) // TILE_QUERIES))) for i in range(len(books[0]))]
         tiles = F.broadcast(self.spark.createDataFrame(tiles, "i int, by_entry int, by_query int"))

@@ -44,7 +44,7 @@ class BlockEncoder:
     tokens, and words next to more than one blank, go to the library as they are.
     """
 
-    def __init__(self, file: str, most: int = 500_000):
+    def __init__(self, file: str, most: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -3,34 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.numeric import without_negative
 
 SIGMAS, BEFORE, AFTER = 2, 15, 14
-BY = Window.partitionBy("ts_id")
-ALONG = BY.orderBy("time_d")
-SO_FAR = ALONG.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def missing_type(x: Column = F.col("daily_untouched")) -> Column:
+def along() -> WindowSpec:
+    """A series in time order."""
+    return Window.partitionBy("ts_id").orderBy("time_d")
+
+
+def missing_type(value: str = "daily_untouched") -> Column:
     """no_missing; missing_short before the first value; missing_hole."""
-    first = F.min(F.when(x.isNotNull(), F.col("time_d"))).over(BY)
+    x = F.col(value)
+    first = F.min(F.when(x.isNotNull(), F.col("time_d"))).over(Window.partitionBy("ts_id"))
     return F.when(x.isNotNull(), "no_missing").when(first.isNull() | (F.col("time_d") < first), "missing_short").otherwise("missing_hole")
 
 
-def rolling_mean(x: Column = F.col("daily_untouched")) -> Column:
+def rolling_mean(value: str = "daily_untouched") -> Column:
     """Centred mean of 30 rows: 15 before, 14 after."""
-    return F.avg(x).over(ALONG.rowsBetween(-BEFORE, AFTER))
+    return F.avg(value).over(along().rowsBetween(-BEFORE, AFTER))
 
 
 def neighbour_mean(x: Column) -> Column:
     """Mean of the same weekday a week before and after; NULL if either is."""
-    return (F.lag(x, 7).over(ALONG) + F.lead(x, 7).over(ALONG)) / 2
+    return (F.lag(x, 7).over(along()) + F.lead(x, 7).over(along())) / 2
 
 
 def forward_fill(x: Column) -> Column:
-    return F.last(x, ignorenulls=True).over(SO_FAR)
+    return F.last(x, ignorenulls=True).over(along().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def with_missing_type(df: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def with_missing_type(df: DataFrame) -> DataFrame:
 def with_outliers(df: DataFrame) -> DataFrame:
     """rolling_mean, and outlier: beyond two population standard deviations of the series from it."""
     x = F.col("daily_untouched")
-    df = df.withColumns({"rolling_mean": rolling_mean(), "deviation": F.stddev_pop(x).over(BY)})
+    df = df.withColumns({"rolling_mean": rolling_mean(), "deviation": F.stddev_pop(x).over(Window.partitionBy("ts_id"))})
     far = (x < F.col("rolling_mean") - SIGMAS * F.col("deviation")) | (x > F.col("rolling_mean") + SIGMAS * F.col("deviation"))
     return df.withColumn("outlier", F.when(far, "outlier").otherwise("ok")).drop("deviation")
 

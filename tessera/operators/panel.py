@@ -32,7 +32,7 @@ def long_to_wide(long: DataFrame, ids: list[str], name: Column, names: list[str]
 
 def series_ids(long: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys with a 0-based id in key order. Numbers come from range-partitioned ranks, not from one task."""
-    ranked = long.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
-    counted = ranked.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    before = counted.groupBy("part").agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return counted.join(F.broadcast(before), "part").select((F.coalesce("start", F.lit(0)) + F.col("k") - 1).alias("ts_id"), *keys)
+    ranked = long.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
+    counted = ranked.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+    before = counted.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
+    return counted.join(F.broadcast(before), "__part").select((F.coalesce("__start", F.lit(0)) + F.col("__k") - 1).alias("ts_id"), *keys)

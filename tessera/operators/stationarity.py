@@ -51,20 +51,20 @@ def attempts(df: DataFrame, value: str, season: int) -> DataFrame:
 
 
 def search(df: DataFrame, value: str, season: int = 7, threshold: float = 0.05) -> DataFrame:
-    """ts_id, found_stn, d, D, S: the first attempt that the test doesn't reject."""
+    """ts_id, found_stn, d, seasonal_d, S: the first attempt that the test doesn't reject."""
     tried = attempts(df, value, season)
     good = F.coalesce(F.col("stat") < CRITICAL[threshold], F.lit(False))
     first = tried.groupBy("ts_id").agg(F.min(F.when(good, F.col("attempt"))).alias("k"))
     order = lambda place: F.get(F.array(*[F.lit(a[place]) for a in ATTEMPTS]), F.col("k"))
-    return first.select("ts_id", F.col("k").isNotNull().alias("found_stn"), order(0).alias("d"), order(1).alias("D"), F.lit(season).alias("S"))
+    return first.select("ts_id", F.col("k").isNotNull().alias("found_stn"), order(0).alias("d"), order(1).alias("seasonal_d"), F.lit(season).alias("S"))
 
 
 def search_with_log(df: DataFrame, value: str, season: int = 7, threshold: float = 0.05) -> DataFrame:
     """As search(); series that fail are tried again as logarithms (1 for 0). func: asis, log or NULL."""
     plain = search(df, value, season, threshold)
     logs = search(df.withColumn(value, F.ln(one_for_zero(F.col(value)))), value, season, threshold)
-    names = ("found", "diff", "seasonal")  # d and D are one name to the analyzer
+    names = ("found", "diff", "seasonal")
     both = plain.toDF("ts_id", *(f"{n}_asis" for n in names), "S").join(logs.toDF("ts_id", *(f"{n}_log" for n in names), "S_log"), "ts_id")
     pick = lambda n, to: F.when(F.col("found_asis"), F.col(f"{n}_asis")).otherwise(F.col(f"{n}_log")).alias(to)
     func = F.when(F.col("found_asis"), "asis").when(F.col("found_log"), "log").alias("func")
-    return both.select("ts_id", (F.col("found_asis") | F.col("found_log")).alias("found_stn"), func, pick("diff", "d"), pick("seasonal", "D"), "S")
+    return both.select("ts_id", (F.col("found_asis") | F.col("found_log")).alias("found_stn"), func, pick("diff", "d"), pick("seasonal", "seasonal_d"), "S")

@@ -171,7 +171,7 @@ _MODELS = "mo AS (SELECT ts_id, time_d, lag(daily_cleaned, 7) OVER w AS mod_a, l
 def _reholiday(spark: SparkSession, sf: str, match: str) -> DataFrame:
     cleaned, table = _spiked_clean(spark, sf)
     history, factor = holidays.flags(cleaned, table), holidays.factors(cleaned, table)
-    models = history.select("ts_id", "time_d", F.lag("daily_level", 7).over(clean.ALONG).alias("mod_a"), F.lag("daily_level", 14).over(clean.ALONG).alias("mod_b"))
+    models = history.select("ts_id", "time_d", F.lag("daily_level", 7).over(clean.along()).alias("mod_a"), F.lag("daily_level", 14).over(clean.along()).alias("mod_b"))
     return holidays.reholiday(models, factor, history, ["mod_a", "mod_b"], match).select("ts_id", "time_d", r("mod_a"), r("mod_b"))
 
 
@@ -282,12 +282,11 @@ def kpss_statistic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_KPSS} SELECT ts_id, k IS NOT NULL AS found_stn, {_ORDER[0]('k')} AS d, {_ORDER[1]('k')} AS seasonal_d, 7 AS S FROM kp_r")
 def stationarity_search(spark: SparkSession, sf: str) -> DataFrame:
-    return stationarity.search(_cleaned(spark, sf, "pa"), "daily_cleaned").toDF("ts_id", "found_stn", "d", "seasonal_d", "S")
+    return stationarity.search(_cleaned(spark, sf, "pa"), "daily_cleaned")
 
 
 def _searched(spark: SparkSession, sf: str) -> DataFrame:
-    """With the order D named seasonal_d, as SQL doesn't tell d from D."""
-    return stationarity.search_with_log(_cleaned(spark, sf, "pa"), "daily_cleaned").toDF("ts_id", "found_stn", "func", "d", "seasonal_d", "S")
+    return stationarity.search_with_log(_cleaned(spark, sf, "pa"), "daily_cleaned")
 
 
 @query(f"WITH {_LOG}, b AS ({_BOTH}) SELECT ts_id, found_stn, func, d, seasonal_d, S FROM b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basics
+from . import basics, forecasts  # noqa: F401  forecasts adds its own
 
 QUERIES = dict(basics.QUERIES)
 SQL = dict(basics.SQL)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .search import missing, search
 
-SCHEMA = "ts_id string, variable string, sample string, time_d date, pred double, p int, d int, q int, P_ int, D_ int, Q_ int, S int, include_intercept boolean, cost double"
+SCHEMA = "ts_id string, variable string, sample string, time_d date, pred double, p int, d int, q int, seasonal_p int, seasonal_d int, seasonal_q int, season int, include_intercept boolean, cost double"
 
 
 def fit_panel(panel: DataFrame, params: DataFrame, value: str, n_validation: int = 60, n_forecast: int = 70, step_days: int = 1, most: tuple[int, int, int, int] = (5, 5, 2, 2), most_rounds: int = 1000, tasks: int | None = None) -> DataFrame:
-    """panel (ts_id, time_d, value) and params (ts_id, found_stn, func, d, D, S) -> samples fitted, valicast and forecast.
+    """panel (ts_id, time_d, value) and params (ts_id, found_stn, func, d, seasonal_d, S) -> samples fitted, valicast and forecast.
 
     Each series is fitted alone in numpy; groups are dealt over `tasks` partitions, as their costs differ widely. Series
     without a stationary form get NULL predictions of the same shape.
@@ -22,7 +22,7 @@ def fit_panel(panel: DataFrame, params: DataFrame, value: str, n_validation: int
         pdf = pdf.sort_values("time_d")
         y, row = pdf["y"].to_numpy(float), pdf.iloc[0]
         if row["found_stn"] and not np.isnan(y).all():
-            found = search(y, int(row["d"]), int(row["D"]), int(row["S"]), n_validation, n_forecast, use_log=row["func"] == "log", most=most, most_rounds=most_rounds)
+            found = search(y, int(row["d"]), int(row["seasonal_d"]), int(row["S"]), n_validation, n_forecast, use_log=row["func"] == "log", most=most, most_rounds=most_rounds)
         else:
             found = missing(len(y), n_validation, n_forecast)
         days = list(pdf["time_d"])
@@ -32,13 +32,13 @@ def fit_panel(panel: DataFrame, params: DataFrame, value: str, n_validation: int
         out = pd.concat([pd.DataFrame({"sample": s, "time_d": t, "pred": v}) for s, t, v in samples], ignore_index=True)
         out.insert(0, "ts_id", row["ts_id"])
         out.insert(1, "variable", value)
-        for name, attribute in (("p", "p"), ("d", "d"), ("q", "q"), ("P_", "P"), ("D_", "D"), ("Q_", "Q"), ("S", "S")):
+        for name, attribute in (("p", "p"), ("d", "d"), ("q", "q"), ("seasonal_p", "P"), ("seasonal_d", "D"), ("seasonal_q", "Q"), ("season", "S")):
             out[name] = pd.array([None if o is None else getattr(o, attribute)] * len(out), dtype="Int32")
         out["include_intercept"] = pd.array([None if o is None else o.has_mean] * len(out), dtype="boolean")
         out["cost"] = found.cost
         return out
 
-    both = panel.select("ts_id", "time_d", F.col(value).alias("y")).join(params.select("ts_id", "found_stn", "func", "d", "D", "S"), "ts_id")
+    both = panel.select("ts_id", "time_d", F.col(value).alias("y")).join(params.select("ts_id", "found_stn", "func", "d", "seasonal_d", "S"), "ts_id")
     if tasks:
         both = both.repartition(tasks, "ts_id")
     return both.groupBy("ts_id").applyInPandas(fit, SCHEMA)
@@ -46,4 +46,4 @@ def fit_panel(panel: DataFrame, params: DataFrame, value: str, n_validation: int
 
 def specification(fitted: DataFrame) -> DataFrame:
     """One row for each series: its order and cost."""
-    return fitted.select("ts_id", "variable", "p", "d", "q", "P_", "D_", "Q_", "S", "include_intercept", "cost").distinct()
+    return fitted.select("ts_id", "variable", "p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "season", "include_intercept", "cost").distinct()

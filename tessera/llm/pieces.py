@@ -30,7 +30,7 @@ _CODECS: dict[str, PieceCodec] = {}
 class PieceCodec:
     """Encoder and decoder of one sentencepiece BPE model file."""
 
-    def __init__(self, model_file: str, memo: int = 300_000):
+    def __init__(self, model_file: str, memo: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -122,12 +122,20 @@ class PieceCodec:
         n = len(text)
         if (i := self.id_of.get(text)) is not None and i in self.shorter:
             return [i]
+        pairs, ids, last, done = self.pairs, [], -1, 0
+        for _, (i, size) in self.automaton.iter_long(text):  # longest pieces one after another often fit already
+            if last >= 0 and not pairs[last << 32 | i]:
+                break
+            ids.append(i)
+            last, done = i, done + size
+        if done == n:
+            return ids
         longest = [-1] * (n + 1)
         for end, (i, size) in self.automaton.iter(text):
             longest[end - size + 1] = i
         failed = bytearray(n // 8 + 1)
-        shorter, length, pairs = self.shorter, self.length, self.pairs
-        ids: list[int] = []
+        shorter, length = self.shorter, self.length
+        ids = []
         at, i = 0, longest[0]
         while at < n:
             while i >= 0:

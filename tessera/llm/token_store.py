@@ -44,7 +44,7 @@ class BlockEncoder:
     tokens, and words next to more than one blank, go to the library as they are.
     """
 
-    def __init__(self, file: str, most: int = 200_000):
+    def __init__(self, file: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,8 +62,11 @@ class BlockEncoder:
     def _raw(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of words as they are after a blank; where a full stop, comma or line feed follows letters, by parts."""
+    def _learn(self, missing: set[str]) -> set[str]:
+        """Ids of words as they are after a blank; where a full stop, comma or line feed follows letters, by parts.
+
+        Returns those that are empty or begin or end with white space: a cut beside them is no cut of the pre-tokenizer.
+        """
         new, old, whole, odd, parts = self.new, self.old, [], [], []
         for w in missing:
             if (found := old.get(w)) is not None:
@@ -78,6 +81,8 @@ class BlockEncoder:
                     parts.append((w, head, mark + feed, tail))
                 else:
                     odd.append(w)
+        blank = {w for w in odd if not w or w[0].isspace() or w[-1].isspace()}
+        odd = [w for w in odd if w not in blank]
         whole += {head for _, head, _, _ in parts if head not in new and head not in old}.difference(whole)
         tails = list({tail for *_, tail in parts if tail})
         new.update(zip(whole, self._raw(self.letters, [" " + w for w in whole]), strict=True))
@@ -85,6 +90,7 @@ class BlockEncoder:
         bare = dict(zip(tails, self._raw(self.letters, tails), strict=True)) | {"": b""}
         for w, head, mark, tail in parts:
             new[w] = (new[head] if head in new else old[head]) + self.marks[mark] + bare[tail]
+        return blank
 
     def after_blank(self, words: list[str]) -> list[bytes]:
         """Ids of different words as they are after a blank, without the memo."""
@@ -99,18 +105,18 @@ class BlockEncoder:
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         new, missing = self.new, set()
-        words: list[list[str] | None] = []
+        words: list[tuple[str, list[str]] | None] = []
         for text in texts:
-            first, *rest = text.split(" ")
-            unseen = [w for w in rest if w not in new]
-            if any(s in text for s in self.special) or first[-1:].isspace() or (rest and not first) or not all(unseen) or any([w[0].isspace() or w[-1].isspace() for w in unseen]):
+            if any([x in text for x in self.special]):
                 words.append(None)
             else:
-                missing.update(unseen)
-                words.append([first, *rest])
-        self._learn(missing)
-        firsts = iter(self._raw(self.tokenizer, [t if d is None else d[0] for t, d in zip(texts, words, strict=True)]))
-        out = [next(firsts) if d is None else next(firsts) + b"".join(map(new.__getitem__, d[1:])) for d in words]
+                first, *rest = text.split(" ")
+                missing.update(set(rest).difference(new))
+                words.append((first, rest))
+        blank = self._learn(missing)
+        words = [None if d is None or (d[1] and (not d[0] or d[0][-1].isspace())) or (blank and not blank.isdisjoint(d[1])) else d for d in words]
+        firsts = self._raw(self.tokenizer, [t if d is None else d[0] for t, d in zip(texts, words, strict=True)])
+        out = [x if d is None else x + b"".join(map(new.__getitem__, d[1])) for x, d in zip(firsts, words, strict=True)]
         for w in [w for w in missing if len(w) > 64]:
             new.pop(w, None)
         return out

@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
         weights, bias = sent.value
         if (value := _TABLES.get(key)) is None:
             _TABLES.clear()  # a worker keeps the words of one model
-            value = _TABLES[key] = Memo(lambda w: sum([weights.get(s, 0.0) for s in slots(w)]), 400_000, longest=64)
+            value = _TABLES[key] = Memo(lambda w: sum([weights.get(s, 0.0) for s in slots(w)]), 200_000, longest=64)
         for b in batches:
             z = np.array([bias + math.fsum(map(value.__getitem__, words(t))) for t in b.column(place).to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))

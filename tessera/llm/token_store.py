@@ -53,6 +53,11 @@ class BlockEncoder:
         self.tokenizer, self.letters = Tokenizer.from_file(file), Tokenizer.from_file(file)
         #: For runs of letters, which the pre-tokenizer's pattern leaves whole.
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: For many such runs, each with a blank before it.
+        self.spaced = Tokenizer.from_file(file)
+        self.spaced.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), self.letters.pre_tokenizer])
+        self.starts = np.zeros(self.spaced.get_vocab_size(), bool)
+        self.starts[[i for x, i in self.spaced.get_vocab().items() if x.startswith("\u0120")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.new, self.old = most, {}, {}
         self.marks = dict(zip(marks := [".", ",", "\n", ".\n", ",\n"], self._raw(self.tokenizer, marks), strict=True))
@@ -62,30 +67,41 @@ class BlockEncoder:
     def _raw(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _after_blank(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """Runs of letters with their ids as they are after a blank, many in one call: a new word starts at each id of a blank."""
+        out = []
+        for low in range(0, len(words), 500):
+            part = words[low : low + 500]
+            ids = np.array(self.spaced.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = (np.flatnonzero(self.starts[ids]) * 4).tolist()
+            raw = ids.tobytes()
+            out += zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)], strict=True)
+        return out
+
     def _learn(self, missing: set[str]) -> set[str]:
         """Ids of words as they are after a blank; where a full stop, comma or line feed follows letters, by parts.
 
         Returns those that are empty or begin or end with white space: a cut beside them is no cut of the pre-tokenizer.
         """
-        new, old, whole, odd, parts = self.new, self.old, [], [], []
-        for w in missing:
-            if (found := old.get(w)) is not None:
-                new[w] = found
-            elif w.isalpha():
-                whole.append(w)
+        new, old = self.new, self.old
+        again = missing & old.keys()
+        new.update(zip(again, map(old.__getitem__, again), strict=True))
+        fresh = missing - again
+        whole = set(filter(str.isalpha, fresh))
+        odd, parts = [], []
+        for w in fresh - whole:
+            head, feed, tail = w.partition("\n")
+            mark = head[-1:] if head[-1:] in (".", ",") else ""
+            head = head[: len(head) - len(mark)]
+            if head.isalpha() and (tail.isalpha() or not feed):
+                parts.append((w, head, mark + feed, tail))
             else:
-                head, feed, tail = w.partition("\n")
-                mark = head[-1:] if head[-1:] in (".", ",") else ""
-                head = head[: len(head) - len(mark)]
-                if head.isalpha() and (tail.isalpha() or not feed):
-                    parts.append((w, head, mark + feed, tail))
-                else:
-                    odd.append(w)
+                odd.append(w)
         blank = {w for w in odd if not w or w[0].isspace() or w[-1].isspace()}
         odd = [w for w in odd if w not in blank]
-        whole += {head for _, head, _, _ in parts if head not in new and head not in old}.difference(whole)
+        whole.update({head for _, head, _, _ in parts}.difference(new, old))
         tails = list({tail for *_, tail in parts if tail})
-        new.update(zip(whole, self._raw(self.letters, [" " + w for w in whole]), strict=True))
+        new.update(self._after_blank(list(whole)))
         new.update(zip(odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True))
         bare = dict(zip(tails, self._raw(self.letters, tails), strict=True)) | {"": b""}
         for w, head, mark, tail in parts:
@@ -94,8 +110,7 @@ class BlockEncoder:
 
     def after_blank(self, words: list[str]) -> list[bytes]:
         """Ids of different words as they are after a blank, without the memo."""
-        plain = [w for w in words if w.isalpha()]
-        ids = dict(zip(plain, self._raw(self.letters, [" " + w for w in plain]), strict=True))
+        ids = dict(self._after_blank([w for w in words if w.isalpha()]))
         odd = [w for w in words if w not in ids]
         ids.update(zip(odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True))
         return [ids[w] for w in words]

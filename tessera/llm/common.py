@@ -90,6 +90,17 @@ class Memo(dict):
         return value
 
 
+_OWN: dict = {}
+
+
+def worker_cache(key, make: Callable):
+    """make() once in a worker process; what another operator kept there before goes."""
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = make()
+    return _OWN[key]
+
+
 def filesystem(url: str):
     """(pyarrow filesystem, path) of a URL; local paths need no scheme."""
     from pyarrow import fs

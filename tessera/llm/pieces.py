@@ -21,16 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, bounded_batches
+from .common import Memo, bounded_batches, worker_cache
 
 SPACE = "▁"
-_CODECS: dict[str, PieceCodec] = {}
 
 
 class PieceCodec:
     """Encoder and decoder of one sentencepiece BPE model file."""
 
-    def __init__(self, model_file: str, memo: int = 150_000):
+    def __init__(self, model_file: str, memo: int = 350_000, raw: bool = False):
+        """raw: parts() gives ids as 32-bit integers, not as text."""
         import ahocorasick
         import sentencepiece
 
@@ -66,7 +66,7 @@ class PieceCodec:
         self.shown = {i: p.replace(SPACE, " ") for i, p in self.piece.items()}
         self.length = {i: len(p) for i, p in self.piece.items()}
         self.spans = re.compile("[" + "".join(map(re.escape, sorted(joined))) + "]+|.", re.DOTALL)
-        self.chunks = re.compile(f"{SPACE}+[^{SPACE}]*")
+        self.chunks, self.raw = re.compile(" +[^ ]*"), raw
         self.memo, self.pairs = Memo(self._known, memo, longest=64), Memo(lambda pair: self._remerged(*divmod(pair, 1 << 32)), 1_000_000)
 
     def _merge(self, text: str, note: int = -1) -> list[int]:
@@ -190,20 +190,24 @@ class PieceCodec:
             out.append(_utf8(raw))
         return "".join(out)
 
-    def parts(self, text: str | None) -> list[tuple[str, int, str, bytes]]:
-        """For each word with the blanks before it: ids as text, their number, what they decode to, ids as 32-bit integers."""
-        if not text:
-            return []
-        return list(map(self.memo.__getitem__, self.chunks.findall(SPACE + text.replace(" ", SPACE))))
+    def _words(self, text: str) -> list[str]:
+        """Words with the blanks before them; the text's first word has one more, and the space sign is a blank."""
+        return self.chunks.findall(" " + text.replace(SPACE, " "))
 
-    def _known(self, chunk: str) -> tuple[str, int, str, bytes]:
-        ids = self._chunk(chunk)
-        return ",".join(map(self.digits.__getitem__, ids)), len(ids), self._surface(ids), array("i", ids).tobytes()
+    def parts(self, text: str | None) -> list[tuple[str | bytes, int, str]]:
+        """For each word with the blanks before it: ids (as text, or raw), their number, what they decode to."""
+        return list(map(self.memo.__getitem__, self._words(text))) if text else []
+
+    def _known(self, word: str) -> tuple[str | bytes, int, str]:
+        ids = self._chunk(word.replace(" ", SPACE))
+        shown = self._surface(ids)
+        own = array("i", ids).tobytes() if self.raw else ",".join(map(self.digits.__getitem__, ids))
+        return own, len(ids), word if shown == word else shown
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        return [i for k in self.chunks.findall(SPACE + text.replace(" ", SPACE)) for i in self._chunk(k)]
+        return [i for w in self._words(text) for i in self._chunk(w.replace(" ", SPACE))]
 
     def decode(self, ids: list[int]) -> str:
         text = self._surface(ids)
@@ -227,11 +231,9 @@ def _utf8(raw: bytearray) -> str:
     return "".join(out)
 
 
-def codec(model_file: str) -> PieceCodec:
+def codec(model_file: str, raw: bool = False) -> PieceCodec:
     """One codec for each worker process and model."""
-    if model_file not in _CODECS:
-        _CODECS[model_file] = PieceCodec(model_file)
-    return _CODECS[model_file]
+    return worker_cache(("pieces", model_file, raw), lambda: PieceCodec(model_file, raw=raw))
 
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
@@ -242,13 +244,13 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
+        c = codec(model_file, raw=True)
         for b in batches:
             n, ids, same = [], [], []
             for text in b.column(len(names)).to_pylist():
                 parts = c.parts(text)
                 n.append(sum([p[1] for p in parts]))
-                ids += [p[3] for p in parts]
+                ids += [p[0] for p in parts]
                 same.append("".join([p[2] for p in parts])[1:] == text)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))

@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, filesystem, fresh_path
+from .common import bounded_batches, filesystem, fresh_path, worker_cache
 
 MAGIC = b"TIDZ\x01\n\r\n"
 #: Documents whose ids the dictionary is trained on, its size in bytes, and zstandard's level.
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 400, 65_536, 3
-_ENCODERS: dict[str, "BlockEncoder"] = {}
 
 
 class BlockEncoder:
@@ -138,9 +137,7 @@ class BlockEncoder:
 
 
 def encoder(file: str) -> BlockEncoder:
-    if file not in _ENCODERS:
-        _ENCODERS[file] = BlockEncoder(file)
-    return _ENCODERS[file]
+    return worker_cache(("blocks", file), lambda: BlockEncoder(file))
 
 
 def _train(samples: list[bytes]) -> bytes:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, bounded_batches, crc_mod
+from .common import Memo, bounded_batches, crc_mod, worker_cache
 
 #: Bounds of the samples that the classifier is fitted on.
 POSITIVES, UNLABELLED = 3000, 9000
@@ -32,7 +32,6 @@ LEAST_DOCS, LEAST_ERRORS = 6, 4.0
 THRESHOLD = 0.7
 _WORDS = re.compile(r"\w+")
 _MASK = (1 << BITS) - 1
-_TABLES: dict[str, Memo] = {}
 
 
 def words(text: str) -> set[str]:
@@ -115,9 +114,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        if (value := _TABLES.get(key)) is None:
-            _TABLES.clear()  # a worker keeps the words of one model
-            value = _TABLES[key] = Memo(lambda w: sum([weights.get(s, 0.0) for s in slots(w)]), 200_000, longest=64)
+        value = worker_cache(key, lambda: Memo(lambda w: sum([weights.get(s, 0.0) for s in slots(w)]), 200_000, longest=64))
         for b in batches:
             z = np.array([bias + math.fsum(map(value.__getitem__, words(t))) for t in b.column(place).to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -12,6 +12,29 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Added before rounding, so that exact ties and zeros of either sign come out alike in both engines.
+NUDGE = 1e-9
+
+
+def rounded(x, digits: int):
+    return F.round((F.col(x) if isinstance(x, str) else x) + NUDGE, digits)
+
+
+def nudged(sql: str) -> str:
+    """The SQL with NUDGE added to the first argument of every round()."""
+    out, rest = "", sql
+    while (at := rest.find("round(")) >= 0:
+        depth, comma = 1, -1
+        for k in range(at + 6, len(rest)):
+            depth += (rest[k] == "(") - (rest[k] == ")")
+            if rest[k] == "," and depth == 1:
+                comma = k
+            if depth == 0:
+                break
+        out, rest = out + rest[: at + 6] + "(" + nudged(rest[at + 6 : comma]) + f") + {NUDGE}::DOUBLE", rest[comma:]
+    return out + rest
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers a function (spark, sf_dir) -> DataFrame and its SQL under its name."""
 
@@ -19,14 +42,14 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
-            SQL[key] = sql
+            SQL[key] = nudged(sql)
         return f
 
     return add
 
 
 def r(column: str, to: str | None = None):
-    return F.round(column, 6).alias(to or column)
+    return rounded(column, 6).alias(to or column)
 
 
 _W = "WINDOW w AS (PARTITION BY ts_id ORDER BY time_d)"
@@ -110,12 +133,12 @@ def _clean_sql(name: str) -> str:
 
 @query(_clean_sql("pa"))
 def daily_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return _cleaned(spark, sf, "pa").withColumn("daily_cleaned", F.round("daily_cleaned", 6))
+    return _cleaned(spark, sf, "pa").withColumn("daily_cleaned", rounded("daily_cleaned", 6))
 
 
 @query(_clean_sql("pc"))
 def daily_clean_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    return _cleaned(spark, sf, "pc").withColumn("daily_cleaned", F.round("daily_cleaned", 6))
+    return _cleaned(spark, sf, "pc").withColumn("daily_cleaned", rounded("daily_cleaned", 6))
 
 
 @query(f"WITH {panel_sql('pc')}, {clean_sql('pc')} SELECT ts_id, time_d, daily_cleaned FROM pc_c WHERE daily_cleaned IS NULL AND missing_type <> 'missing_short'")
@@ -318,7 +341,7 @@ def _sample(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     FROM va JOIN se ON va.ts_id = se.ts_id AND isodow(va.time_d) = se.dow""")
 def growth_to_level_daily(spark: SparkSession, sf: str) -> DataFrame:
     full, last = _sample(spark, sf)
-    return backtransform.daily_growth_to_level(last, full).select("ts_id", "time_d", F.round("daily_wowGr_predbt", 4).alias("daily_wowGr_predbt"))
+    return backtransform.daily_growth_to_level(last, full).select("ts_id", "time_d", rounded("daily_wowGr_predbt", 4).alias("daily_wowGr_predbt"))
 
 
 _PA_WEEKS = weeks_sql("wk", "pa_c", {"daily_cleaned": "weekly_level"})
@@ -336,7 +359,7 @@ def _week_sample(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     SELECT va.ts_id, time_w, round(seed * product(1 + g) OVER (PARTITION BY va.ts_id ORDER BY time_w ROWS UNBOUNDED PRECEDING), 4) AS weekly_wowGr_predbt FROM va JOIN se USING (ts_id)""")
 def growth_to_level_weekly(spark: SparkSession, sf: str) -> DataFrame:
     weeks, last = _week_sample(spark, sf)
-    return backtransform.weekly_growth_to_level(last, weeks).select("ts_id", "time_w", F.round("weekly_wowGr_predbt", 4).alias("weekly_wowGr_predbt"))
+    return backtransform.weekly_growth_to_level(last, weeks).select("ts_id", "time_w", rounded("weekly_wowGr_predbt", 4).alias("weekly_wowGr_predbt"))
 
 
 @query(f"""WITH {panel_sql('pa')}, {clean_sql('pa')}, lv AS (SELECT ts_id, time_d, daily_cleaned AS daily_level, row_number() OVER w AS k, {growth_sql('daily_cleaned', 7)} AS g FROM pa_c {_W})
@@ -344,4 +367,4 @@ def growth_to_level_weekly(spark: SparkSession, sf: str) -> DataFrame:
     FROM lv WINDOW v AS (PARTITION BY ts_id, isodow(time_d) ORDER BY time_d ROWS UNBOUNDED PRECEDING)""")
 def growth_to_level_fitted(spark: SparkSession, sf: str) -> DataFrame:
     full, _ = _sample(spark, sf)
-    return backtransform.fitted_growth_to_level(full).select("ts_id", "time_d", F.round("daily_wowGr_predbt", 4).alias("daily_wowGr_predbt"))
+    return backtransform.fitted_growth_to_level(full).select("ts_id", "time_d", rounded("daily_wowGr_predbt", 4).alias("daily_wowGr_predbt"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import backtransform, clean, components, ensembles, report, stats, submission, topline, transform
 from ..sarima import grouped
-from .basics import _PA_WEEKS, _WG, growth_sql, query, r, weeks_sql
+from .basics import _PA_WEEKS, _WG, growth_sql, query, r, rounded, weeks_sql
 from .panels import HORIZON, SERIES_LAGS, TOPLINE_LAGS, clean_sql, panel, panel_sql
 
 MODELS = [*SERIES_LAGS, *TOPLINE_LAGS, *components.SEASONAL_TRUNCATED]
@@ -36,7 +36,7 @@ def topline_daily(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_LV}, {_TOP} SELECT grp, time_d, (isodow(time_d) - 1)::INT AS day_of_week, round(shrtAdj_factor, 6) AS shrtAdj_factor, round(daily_level_shrtAdj, 4) AS daily_level_shrtAdj,
     round({growth_sql('daily_level_shrtAdj', 7)}, 6) AS daily_wowGr_shrtAdj FROM tp WINDOW w AS (PARTITION BY grp ORDER BY time_d)""")
 def topline_short_adjusted(spark: SparkSession, sf: str) -> DataFrame:
-    return topline.daily(levels(spark, sf)).select("grp", "time_d", "day_of_week", r("shrtAdj_factor"), F.round("daily_level_shrtAdj", 4).alias("daily_level_shrtAdj"), r("daily_wowGr_shrtAdj"))
+    return topline.daily(levels(spark, sf)).select("grp", "time_d", "day_of_week", r("shrtAdj_factor"), rounded("daily_level_shrtAdj", 4).alias("daily_level_shrtAdj"), r("daily_wowGr_shrtAdj"))
 
 
 @query(f"""WITH {_LV}, {_TOP}, {weeks_sql('tw', 'tp', topline.SUMS, 'grp')}
@@ -44,7 +44,7 @@ def topline_short_adjusted(spark: SparkSession, sf: str) -> DataFrame:
     round({growth_sql('weekly_level_shrtAdj', 1)}, 6) AS weekly_wowGr_shrtAdj FROM tw WINDOW w AS (PARTITION BY grp ORDER BY time_w)""")
 def topline_weekly(spark: SparkSession, sf: str) -> DataFrame:
     weekly = topline.weekly_topline(topline.daily(levels(spark, sf)))
-    return weekly.select("grp", "time_w", *[F.round(c, 4).alias(c) for c in topline.SUMS.values()], r("weekly_wowGr_shrtAdj"))
+    return weekly.select("grp", "time_w", *[rounded(c, 4).alias(c) for c in topline.SUMS.values()], r("weekly_wowGr_shrtAdj"))
 
 
 def summary_sql(name: str, keys: str) -> str:
@@ -63,12 +63,12 @@ _ROUNDED = ", ".join(f"round({n}, 4) AS {n}" for n in _NAMES)
 
 @query(f"WITH {_LV}, {summary_sql('so', 'ts_id')} SELECT ts_id, {_ROUNDED} FROM so")
 def summary_stats_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.summary(levels(spark, sf)).select("ts_id", *[F.round(n, 4).alias(n) for n in _NAMES])
+    return stats.summary(levels(spark, sf)).select("ts_id", *[rounded(n, 4).alias(n) for n in _NAMES])
 
 
 @query(f"WITH {_LV}, {summary_sql('sd', 'ts_id, day_of_week')} SELECT ts_id, day_of_week, {_ROUNDED} FROM sd")
 def summary_stats_weekday(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.summary(levels(spark, sf), ("ts_id", "day_of_week")).select("ts_id", "day_of_week", *[F.round(n, 4).alias(n) for n in _NAMES])
+    return stats.summary(levels(spark, sf), ("ts_id", "day_of_week")).select("ts_id", "day_of_week", *[rounded(n, 4).alias(n) for n in _NAMES])
 
 
 _PROP = f"""{summary_sql('sg', 'ts_id, grp')}, hp AS (SELECT ts_id, grp, {', '.join(f'{s} / nullif(sum({s}) OVER (PARTITION BY grp), 0) AS {n}' for n, s in stats.SHARES.items())} FROM sg)"""
@@ -80,7 +80,7 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LV}, {_PROP} SELECT ts_id, grp, {', '.join(f'round({n}, 8) AS {n}' for n in stats.SHARES)} FROM hp")
 def hist_proportions(spark: SparkSession, sf: str) -> DataFrame:
-    return shares(spark, sf).select("ts_id", "grp", *[F.round(n, 8).alias(n) for n in stats.SHARES])
+    return shares(spark, sf).select("ts_id", "grp", *[rounded(n, 8).alias(n) for n in stats.SHARES])
 
 
 @query(f"WITH {_LV}, {_PROP} SELECT grp, {', '.join(f'sum({n}) AS {n}' for n in stats.SHARES)} FROM hp GROUP BY grp HAVING NOT coalesce({' AND '.join(f'abs(sum({n}) - 1) <= 1e-6' for n in stats.SHARES)}, false)")
@@ -99,14 +99,14 @@ def week_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LV}, {_IW} SELECT ts_id, day_of_week, round(share, 8) AS share FROM iw")
 def intraweek_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return week_shares(spark, sf).select("ts_id", "day_of_week", F.round("share", 8).alias("share"))
+    return week_shares(spark, sf).select("ts_id", "day_of_week", rounded("share", 8).alias("share"))
 
 
 @query(f"""WITH {_LV}, {_IW}, {weeks_sql('we', 'lv', {'daily_level': 'weekly_level'})}
     SELECT we.ts_id, time_w + (day_of_week - 6)::INT AS time_d, round(weekly_level * share, 4) AS weekly_level FROM we JOIN iw USING (ts_id)""")
 def weekly_to_daily(spark: SparkSession, sf: str) -> DataFrame:
     weekly = transform.weekly(levels(spark, sf), {"daily_level": "weekly_level"})
-    return backtransform.weekly_to_daily(weekly, week_shares(spark, sf), ["weekly_level"]).withColumn("weekly_level", F.round("weekly_level", 4))
+    return backtransform.weekly_to_daily(weekly, week_shares(spark, sf), ["weekly_level"]).withColumn("weekly_level", rounded("weekly_level", 4))
 
 
 @query(f"""WITH {panel_sql('pa')}, {clean_sql('pa')}, lv AS (SELECT ts_id, time_d, daily_cleaned AS daily_level, (isodow(time_d) - 1)::INT AS day_of_week, {growth_sql('daily_cleaned', 7)} AS g FROM pa_c WINDOW w AS (PARTITION BY ts_id ORDER BY time_d)),
@@ -124,7 +124,7 @@ def back_transform_all(spark: SparkSession, sf: str) -> DataFrame:
     share = stats.intraweek(stats.summary(full, ("ts_id", "day_of_week")))
     last_weeks = weeks.join(F.broadcast(weeks.agg(F.date_sub(F.max("time_w"), 63).alias("from"))), F.col("time_w") >= F.col("from")).drop("from")
     out = backtransform.back_transform(report.last_days(full, HORIZON), last_weeks, full, weeks, share)
-    return out.select("ts_id", "time_d", *[F.round(c, 4).alias(c) for c in out.columns if c.endswith("_predbt")])
+    return out.select("ts_id", "time_d", *[rounded(c, 4).alias(c) for c in out.columns if c.endswith("_predbt")])
 
 
 def _distributed(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +133,7 @@ def _distributed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LV}, {_TOP}, {_PROP} SELECT ts_id, time_d, grp, round(daily_level_noShrtAdj * hist_prop_last60days, 4) AS daily_level_noShrtAdj FROM tp JOIN hp USING (grp)")
 def distribute_topline(spark: SparkSession, sf: str) -> DataFrame:
-    return _distributed(spark, sf).withColumn("daily_level_noShrtAdj", F.round("daily_level_noShrtAdj", 4))
+    return _distributed(spark, sf).withColumn("daily_level_noShrtAdj", rounded("daily_level_noShrtAdj", 4))
 
 
 @query(f"""WITH {_LV}, {_TOP}, {_PROP}, di AS (SELECT grp, sum(daily_level_noShrtAdj * hist_prop_last60days) AS a FROM tp JOIN hp USING (grp) GROUP BY 1), t AS (SELECT grp, sum(daily_level_noShrtAdj) AS b FROM tp GROUP BY 1)
@@ -151,7 +151,7 @@ _LIM = "cutd AS (SELECT max(time_d) - 60 AS cut FROM lv), lim AS (SELECT ts_id,
 
 @query(f"WITH {_LV}, {_LIM} SELECT ts_id, round(trimmax, 4) AS trimmax, round(trimmax_trunc60, 4) AS trimmax_trunc60 FROM lim")
 def trim_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return components.trim_limits(levels(spark, sf)).select("ts_id", F.round("trimmax", 4).alias("trimmax"), F.round("trimmax_trunc60", 4).alias("trimmax_trunc60"))
+    return components.trim_limits(levels(spark, sf)).select("ts_id", rounded("trimmax", 4).alias("trimmax"), rounded("trimmax_trunc60", 4).alias("trimmax_trunc60"))
 
 
 _SM = f"""sm AS (SELECT * FROM (SELECT ts_id, time_d, {', '.join(f'lag(daily_level, {k}) OVER w AS {m}' for m, k in SERIES_LAGS.items())} FROM lv WINDOW w AS (PARTITION BY ts_id ORDER BY time_d))
@@ -192,7 +192,7 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MATRIX} SELECT ts_id, time_d, {', '.join(f'round({m}, 4) AS {m}' for m in MODELS)} FROM mm")
 def component_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix(spark, sf).select("ts_id", "time_d", *[F.round(m, 4).alias(m) for m in MODELS])
+    return matrix(spark, sf).select("ts_id", "time_d", *[rounded(m, 4).alias(m) for m in MODELS])
 
 
 _LIST = f"list_filter([{', '.join(MODELS)}], lambda x: x IS NOT NULL)"
@@ -209,7 +209,7 @@ def with_ensembles(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ensemble(name: str, column: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return with_ensembles(spark, sf).select("ts_id", "time_d", F.round(column, 4).alias(column))
+        return with_ensembles(spark, sf).select("ts_id", "time_d", rounded(column, 4).alias(column))
 
     query(f"WITH {_MATRIX}, {_ENS} SELECT ts_id, time_d, round({column}, 4) AS {column} FROM en", name)(run)
 
@@ -258,7 +258,7 @@ def smape_complete_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LOSSES} " + " UNION ALL ".join(f"SELECT ts_id, '{m}' AS model, round(avg(({m} - daily_untouched) * ({m} - daily_untouched)), 4) AS loss FROM ac GROUP BY 1" for m in MODELS))
 def mse_by_series(spark: SparkSession, sf: str) -> DataFrame:
-    return ensembles.mean_squared(with_actuals(spark, sf), "daily_untouched", MODELS).select("ts_id", "model", F.round("loss", 4).alias("loss"))
+    return ensembles.mean_squared(with_actuals(spark, sf), "daily_untouched", MODELS).select("ts_id", "model", rounded("loss", 4).alias("loss"))
 
 
 _DESCRIBE = 'count({0}) AS count, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0}), 6) AS min, round(quantile_cont({0}, 0.25), 6) AS p25, round(quantile_cont({0}, 0.5), 6) AS p50, round(quantile_cont({0}, 0.75), 6) AS p75, round(max({0}), 6) AS max'
@@ -280,7 +280,7 @@ def nonmissing_share(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_MATRIX} SELECT ts_id, time_d, {', '.join(f'round(coalesce({m}, {components.PLUG}), 4) AS {m}' for m in MODELS)} FROM mm")
 def plug_missing(spark: SparkSession, sf: str) -> DataFrame:
-    return components.plug_missing(matrix(spark, sf), MODELS).select("ts_id", "time_d", *[F.round(m, 4).alias(m) for m in MODELS])
+    return components.plug_missing(matrix(spark, sf), MODELS).select("ts_id", "time_d", *[rounded(m, 4).alias(m) for m in MODELS])
 
 
 _RANK = "ra AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY loss ASC NULLS LAST, model) AS model_rank FROM lo)"
@@ -311,7 +311,7 @@ def weights_sql(k: int) -> str:
 def _weights(k: int) -> None:
     def wide(spark: SparkSession, sf: str) -> DataFrame:
         out = ensembles.wide_weights(ensembles.weights(series_losses(spark, sf), k), MODELS)
-        return out.select("ts_id", *[F.round(c, 8).alias(c) for c in out.columns[1:]])
+        return out.select("ts_id", *[rounded(c, 8).alias(c) for c in out.columns[1:]])
 
     query(f"WITH {_LOSSES}, {_RANK}, {weights_sql(k)} SELECT ts_id, {', '.join(f'round(reWt_{m}, 8) AS reWt_{m}' for m in MODELS)} FROM x{k}", f"weights_top{k}")(wide)
 
@@ -319,7 +319,7 @@ def _weights(k: int) -> None:
         models = with_actuals(spark, sf)
         weight = ensembles.wide_weights(ensembles.weights(ensembles.losses(models, "daily_untouched", MODELS), k), MODELS)
         out = ensembles.blend(models, weight, MODELS, "blend")
-        return out.select("ts_id", "time_d", F.round("blend", 4).alias("blend"))
+        return out.select("ts_id", "time_d", rounded("blend", 4).alias("blend"))
 
     total = " + ".join(f"CASE WHEN reWt_{m} <> 0 THEN reWt_{m} * coalesce({m}, 0) ELSE 0 END" for m in MODELS)
     query(f"WITH {_LOSSES}, {_RANK}, {weights_sql(k)} SELECT ac.ts_id, time_d, round({total}, 4) AS blend FROM ac JOIN x{k} ON x{k}.ts_id = ac.ts_id", f"blend_top{k}")(blended)
@@ -332,7 +332,7 @@ for _k in (1, 5):
 @query(f"WITH {_LOSSES}, {_RANK}, {weights_sql(1)}, {weights_sql(5)} SELECT model, round(avg(w1.weight), 8) AS top1, round(avg(w5.weight), 8) AS top5 FROM w1 JOIN w5 USING (ts_id, model) GROUP BY 1")
 def weights_mean(spark: SparkSession, sf: str) -> DataFrame:
     by_series = series_losses(spark, sf)
-    mean = lambda k: ensembles.weights(by_series, k).groupBy("model").agg(F.round(F.avg("weight"), 8).alias(f"top{k}"))
+    mean = lambda k: ensembles.weights(by_series, k).groupBy("model").agg(rounded(F.avg("weight"), 8).alias(f"top{k}"))
     return mean(1).join(mean(5), "model")
 
 
@@ -343,19 +343,19 @@ def smape_by_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- submission
 
-_KEY = "sk AS (SELECT ts_id, time_d, md5(ts_id || '_' || strftime(time_d, '%Y-%m-%d')) AS Id FROM (SELECT DISTINCT ts_id FROM lv) CROSS JOIN (SELECT DISTINCT time_d FROM lv WHERE time_d > (SELECT max(time_d) - 20 FROM lv)))"
+_KEY = "sk AS (SELECT ts_id, time_d, md5(ts_id || '_' || strftime(time_d, '%Y-%m-%d')) AS Id FROM (SELECT DISTINCT ts_id FROM lv) CROSS JOIN (SELECT DISTINCT time_d FROM lv WHERE time_d > (SELECT max(time_d) - 60 FROM lv)))"
 
 
 def _key(spark: SparkSession, sf: str) -> DataFrame:
     """Key rows as a submission file has them: a dated page and an id."""
-    rows = report.last_days(levels(spark, sf), 20).select(F.concat("ts_id", F.lit("_"), F.date_format("time_d", "yyyy-MM-dd")).alias("Page"))
+    rows = report.last_days(levels(spark, sf), HORIZON).select(F.concat("ts_id", F.lit("_"), F.date_format("time_d", "yyyy-MM-dd")).alias("Page"))
     keyed = rows.withColumn("Id", F.md5("Page")).withColumns({"ts_id": F.regexp_extract("Page", "^(.*)_([^_]*)$", 1), "time_d": F.to_date(F.regexp_extract("Page", "^(.*)_([^_]*)$", 2))})
     return keyed.select("ts_id", "time_d", "Id")
 
 
 @query(f"WITH {_MATRIX}, {_KEY} SELECT sk.ts_id, sk.time_d, Id, {', '.join(f'round({m}, 4) AS {m}' for m in MODELS)} FROM sk LEFT JOIN mm ON mm.ts_id = sk.ts_id AND mm.time_d = sk.time_d")
 def submission_join(spark: SparkSession, sf: str) -> DataFrame:
-    return submission.submission(matrix(spark, sf), _key(spark, sf)).select("ts_id", "time_d", "Id", *[F.round(m, 4).alias(m) for m in MODELS])
+    return submission.submission(matrix(spark, sf), _key(spark, sf)).select("ts_id", "time_d", "Id", *[rounded(m, 4).alias(m) for m in MODELS])
 
 
 @query(f"WITH {_MATRIX}, {_KEY}, ac AS (SELECT mm.*, l.daily_untouched FROM mm JOIN sk ON sk.ts_id = mm.ts_id AND sk.time_d = mm.time_d JOIN lv l ON l.ts_id = mm.ts_id AND l.time_d = mm.time_d) "
@@ -384,7 +384,7 @@ def counts_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LV} SELECT day_of_week, round(sum(daily_level), 4) AS total FROM lv GROUP BY 1")
 def weekday_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return levels(spark, sf).groupBy("day_of_week").agg(F.round(F.sum("daily_level"), 4).alias("total"))
+    return levels(spark, sf).groupBy("day_of_week").agg(rounded(F.sum("daily_level"), 4).alias("total"))
 
 
 @query(f"WITH {_LV}, m AS (SELECT ts_id, median(daily_level) AS mid FROM lv GROUP BY 1) SELECT {_DESCRIBE.format('mid')} FROM m")
@@ -398,14 +398,14 @@ def weekly_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The batch form of the stream in tessera.streaming."""
     from ..streaming.weekly import weekly_stream
 
-    return weekly_stream(spark.read.parquet(f"{sf}/events.parquet"), "event_type").withColumn("total", F.round("total", 4))
+    return weekly_stream(spark.read.parquet(f"{sf}/events.parquet"), "event_type").withColumn("total", rounded("total", 4))
 
 
 # ---------------------------------------------------------------- seasonal ARIMA
 
 
-def _recent(spark: SparkSession, sf: str) -> DataFrame:
-    return report.last_days(clean.daily_clean(panel(spark, sf, "pa")), 400)
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.daily_clean(panel(spark, sf, "pa"))
 
 
 def _fitted(spark: SparkSession, sf: str, panel_: DataFrame) -> DataFrame:
@@ -417,12 +417,12 @@ def _fitted(spark: SparkSession, sf: str, panel_: DataFrame) -> DataFrame:
 
 @query()
 def sarima_fit_series(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, _recent(spark, sf))
+    return _fitted(spark, sf, _whole(spark, sf))
 
 
 @query()
 def sarima_fit_topline(spark: SparkSession, sf: str) -> DataFrame:
-    total = _recent(spark, sf).groupBy("time_d").agg(F.sum("daily_cleaned").alias("daily_cleaned")).withColumn("ts_id", F.lit("all"))
+    total = _whole(spark, sf).groupBy("time_d").agg(F.sum("daily_cleaned").alias("daily_cleaned")).withColumn("ts_id", F.lit("all"))
     return _fitted(spark, sf, total)
 
 

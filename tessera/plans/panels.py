@@ -31,7 +31,7 @@ def sparse_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _daily(table(spark, sf_dir, "lineitem").where("l_partkey <= 50"), ["l_partkey"], "l_shipdate", F.sum("l_quantity"))
+    return _daily(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_shipdate", F.sum("l_quantity"))
 
 
 def sparse_d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def spiked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RAW = {
     "pa": "SELECT concat_ws('_', l_returnflag, l_linestatus) AS ts_id, CAST(l_shipdate AS DATE) AS time_d, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY 1, 2",
     "pb": "SELECT concat_ws('_', o_orderpriority, o_orderstatus) AS ts_id, CAST(o_orderdate AS DATE) AS time_d, count(*)::DOUBLE AS x FROM orders GROUP BY 1, 2",
-    "pc": "SELECT l_partkey::VARCHAR AS ts_id, CAST(l_shipdate AS DATE) AS time_d, sum(l_quantity)::DOUBLE AS x FROM lineitem WHERE l_partkey <= 50 GROUP BY 1, 2",
+    "pc": "SELECT l_suppkey::VARCHAR AS ts_id, CAST(l_shipdate AS DATE) AS time_d, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY 1, 2",
     "pd": "SELECT event_type AS ts_id, CAST(ts AS DATE) AS time_d, count(*)::DOUBLE AS x FROM events GROUP BY 1, 2",
     "pe": "SELECT concat_ws('_', l_returnflag, l_linestatus, l_linenumber::VARCHAR) AS ts_id, CAST(l_shipdate AS DATE) AS time_d, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY 1, 2",
 }

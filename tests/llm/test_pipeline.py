@@ -6,6 +6,7 @@ from frames import no_documents  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from tessera.llm import lines, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,3 +29,72 @@ def test_an_empty_table_goes_through(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def brute_lines(rows):
+    """Texts by doc_id after line dedup, from the definition."""
+    import re
+    from collections import Counter
+
+    where, first, last, count = {}, {}, {}, Counter()
+    for d, text in rows:
+        for at, line in enumerate(text.split("\n")):
+            m = re.sub(r"\S*[0-9]\S*", "<*>", line)
+            tokens = line.count(" ") + 1
+            if tokens >= lines.LEAST_TOKENS:
+                key = (tokens, tuple(m.split(" ")[: lines.LEAD]), m)
+                where[d, at] = key
+                count[key] += 1
+                first[key] = min(first.get(key, (d, at)), (d, at))
+                last[key] = max(last.get(key, d), d)
+    anchor = {}
+    for key in count:
+        best = anchor.get(key[:2])
+        if best is None or (-count[key], first[key]) < (-count[best], first[best]):
+            anchor[key[:2]] = key
+    template = {}
+    for key in count:
+        a = anchor[key[:2]]
+        x, y = key[2].split(" "), a[2].split(" ")
+        alike = count[a] > 1 and sum(p == q for p, q in zip(x, y, strict=True)) >= len(y) * lines.SIMILAR
+        template[key] = a if alike else key
+    start, end = {}, {}
+    for key, t in template.items():
+        start[t] = min(start.get(t, first[key]), first[key])
+        end[t] = max(end.get(t, last[key]), last[key])
+    out = {}
+    for d, text in rows:
+        kept = []
+        for at, line in enumerate(text.split("\n")):
+            t = template[where[d, at]] if (d, at) in where else None
+            if t is None or start[t][0] == end[t] or start[t] == (d, at):
+                kept.append(line)
+        out[d] = "\n".join(kept)
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    import math
+    import re
+
+    import sentencepiece
+
+    from test_text_operators import PIECES, brute_components, brute_fingerprint
+
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    weights, bias = toxicity.train(table, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
+    chance = lambda t: 1 / (1 + math.exp(-(bias + sum(weights.get(s, 0.0) for w in toxicity.words(t) for s in toxicity.slots(w)))))
+    rows = [(d, t) for d, t in rows if chance(t) < toxicity.THRESHOLD]
+    text = brute_lines(rows)
+    prints = [(d, brute_fingerprint(text[d])) for d, _ in rows]
+    rows = [d for (d, _), c in zip(prints, brute_components(prints), strict=True) if d == c]
+    cut = lambda t: [w for w in re.split(r"[ \t-\r]+", t.lower()) if w]
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    items = [cut(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    sets = [(min(5, len(w)), runs(w, min(5, len(w)))) for w in items if w]
+    rows = [d for d in rows if not any(len(s & runs(cut(text[d]), n)) >= 0.8 * len(s) for n, s in sets)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = {d: sp.encode(text[d]) for d in rows}
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    assert got == want

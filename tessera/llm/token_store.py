@@ -43,7 +43,7 @@ class BlockEncoder:
     tokens, and words next to more than one blank, go to the library as they are.
     """
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -219,8 +219,14 @@ class ShardReader:
 
     def read(self, k: int) -> np.ndarray:
         """Ids of the document at place k, from its frame alone."""
-        at, end = int(self.offsets[k]), int(self.offsets[k + 1])
-        return np.frombuffer(self.data.decompress(self.file.read_at(end - at, at)), "<u4")
+        return np.frombuffer(next(self.frames(k, k + 1)), "<u4")
+
+    def frames(self, low: int, high: int) -> Iterator[bytes]:
+        """Decompressed ids of the documents from place low to before high, after one read."""
+        at = self.offsets[low : high + 1].astype(np.int64)
+        raw = memoryview(self.file.read_at(int(at[-1] - at[0]), int(at[0])))
+        for x, y in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True):
+            yield self.data.decompress(raw[x:y])
 
     def find(self, doc_id: int) -> np.ndarray:
         k = int(np.searchsorted(self.doc_ids, doc_id))
@@ -277,15 +283,15 @@ def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
             for url, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 shard = ShardReader(url)
                 for low in range(0, len(shard), 512):
-                    part = [shard.read(k) for k in range(low, min(low + 512, len(shard)))]
-                    sizes = np.array([len(x) for x in part], np.int64)
+                    part = list(shard.frames(low, min(low + 512, len(shard))))
+                    sizes = np.array([len(x) // 4 for x in part], np.int64)
                     starts = start + np.cumsum(sizes) - sizes
                     start += int(sizes.sum())
                     ids = shard.doc_ids[low : low + len(part)]
                     columns = [pa.array(ids, pa.int64(), mask=ids == -(2**63)), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(x) for x in part], pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        columns, names = [*columns, pa.array([x.astype(np.int64) for x in part], pa.list_(pa.int64()))], [*names, "ids"]
+                        columns, names = [*columns, pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in part], pa.list_(pa.int64()))], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     tasks = max(1, manifest.count())

@@ -345,3 +345,25 @@ def test_chances_of_all_ids_add_up():
     layout = language_model.Layout(np.random.default_rng(1).integers(0, 50, 3000))
     by_class = np.bincount(layout.class_of, np.exp(layout.within), language_model.CLASSES)
     assert by_class[np.unique(layout.class_of)] == pytest.approx(1.0)
+
+
+def test_training_covers_every_id_of_long_and_of_all_documents(spark, monkeypatch):
+    kept, real = [], language_model.train
+    monkeypatch.setattr(language_model, "train", lambda found, layout: kept.append((layout, real(found, layout))) or kept[-1][1])
+    words = [w for w in "".join(c if c.isalpha() else " " for c in " ".join(texts(spark, 60))).lower().split()][:900]
+    rows = [(k, " ".join(words[k * 300 : (k + 1) * 300])) for k in range(3)]
+    learning = [r for r in rows if not language_model.is_held(r[0])]
+    language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), BLOCKS).collect()
+    layout, model = kept[0]
+    moved = (model.x != language_model.Attention(layout.slots).x).any(1)
+    ids = {i for _, t in learning for e in language_model.encoder(BLOCKS).after_blank(t.split()) for i in np.frombuffer(e, "<u4").tolist()}
+    assert len(learning) >= 2 and moved[layout.slot_of[sorted(ids)]].all()
+
+
+def test_lessons_give_each_id_weight_in_one_window():
+    layout = language_model.Layout(np.arange(1, 5001))
+    rows = [np.arange(n, dtype="<u2") for n in (0, 5, 31, 32, 33, 700)]
+    slots, classes, weight, places = language_model.lessons(rows, layout)
+    assert (np.bincount(places[weight], minlength=len(classes)) == np.r_[np.ones(len(classes) - 1), 0]).all()
+    target = np.concatenate([np.r_[x, layout.end] for x in rows]).astype(int)
+    assert (classes[:-1] == layout.class_of[target]).all() and (slots[:-1] == layout.slot_of[np.r_[layout.end, target[:-1]]]).all()

@@ -3,7 +3,9 @@
 A gear hash rolls over the UTF-8 bytes; a chunk ends where the hash over the last WINDOW bytes is under one in
 MEAN_CHUNK of its range, so boundaries depend on nearby bytes only and come back after an insertion. Chunks are counted by digest; those that
 stand in two documents or more are joined to runs of neighbouring chunks, and runs of LEAST_BYTES or more are repeated
-passages. Chunks under LEAST_CHUNK bytes say nothing by themselves and are bridged.
+passages. Chunks under LEAST_CHUNK bytes say nothing by themselves and are bridged. Who keeps a passage is found by stretches:
+from each chunk on, the fewest chunks that make LEAST_BYTES are one stretch, kept by the smallest doc_id that holds just these
+bytes. A run is cut where stretches of smaller documents begin and end, and no stretch is marked at its keeper.
 
 Defined results: null and empty texts have no passages; what repeats within one document only is none; rows that share a
 doc_id count as one document; a passage stays where its doc_id is smallest and is marked as a repeat elsewhere; offsets count
@@ -52,12 +54,12 @@ def cuts(raw: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """digest long, doc_id long, start int, stop int of every chunk of LEAST_CHUNK bytes or more."""
+    """digest, doc_id, start, stop of every chunk of LEAST_CHUNK bytes or more; digest and stop of its stretch, 0 near the end."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, ids, starts, stops = [], [], [], []
+            digests, ids, starts, stops, stretches, ends = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 bounds = cuts(raw)
@@ -68,21 +70,43 @@ def chunks(docs: DataFrame) -> DataFrame:
                     ids.append(np.full(len(own), doc_id, np.int64))
                     starts.append(a)
                     stops.append(z)
+                    at = np.searchsorted(bounds, a + LEAST_BYTES)
+                    end = np.where(at < len(bounds), bounds[np.minimum(at, len(bounds) - 1)], 0)
+                    stretches += [xxhash.xxh64_digest(raw[x:y], 1) if y else bytes(8) for x, y in zip(a.tolist(), end.tolist(), strict=True)]
+                    ends.append(end)
             if ids:
-                columns = [np.frombuffer(b"".join(digests), "<i8"), np.concatenate(ids), np.concatenate(starts).astype(np.int32), np.concatenate(stops).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "stop"])
+                columns = [np.frombuffer(b"".join(digests), "<i8"), np.concatenate(ids), np.concatenate(starts).astype(np.int32), np.concatenate(stops).astype(np.int32), np.frombuffer(b"".join(stretches), "<i8"), np.concatenate(ends).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["digest", "doc_id", "start", "stop", "stretch", "end"])
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text <> ''")
-    return source.mapInArrow(run, "digest long, doc_id long, start int, stop int")
+    return source.mapInArrow(run, "digest long, doc_id long, start int, stop int, stretch long, end int")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop, first_doc_id (smallest that holds part of it) and is_repeat of every repeated passage."""
+    """doc_id, start, stop, first_doc_id (smallest that holds a stretch of it) and is_repeat of every repeated passage."""
     found, _ = materialize(chunks(docs), "chunks")
-    spread = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").select("digest", "first_doc_id")
-    hits = found.join(spread, "digest").select("doc_id", "start", "stop", "first_doc_id")
+    spread = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("digest")
+    hits = found.join(spread, "digest").select("doc_id", "start", "stop", "stretch", "end")
     along = Window.partitionBy("doc_id").orderBy("start", "stop")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     fresh = (F.col("start") - F.lag("stop", 1, -(BRIDGE + 1)).over(along) > BRIDGE).cast("int")
-    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id"))
-    return whole.where(F.col("stop") - F.col("start") >= LEAST_BYTES).select("doc_id", "start", "stop", "first_doc_id", (F.col("first_doc_id") < F.col("doc_id")).alias("is_repeat"))
+    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(so_far)).drop("fresh")
+    whole = Window.partitionBy("doc_id", "run")
+    long = F.max("stop").over(whole) - F.min("start").over(whole) >= LEAST_BYTES
+    runs, _ = materialize(runs.withColumn("long", long).where("long").drop("long"), "runs")
+    of_stretch = runs.where("end > 0").groupBy("stretch").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("stretch", "keeper")
+    of_stretch, _ = materialize(of_stretch, "stretches")  # so that the next join can split a hot passage
+    kept = runs.join(of_stretch, "stretch", "left").withColumn("keeper", F.when(F.col("end") > 0, F.col("keeper")))
+    before = Window.partitionBy("doc_id", "run").orderBy("start", "stop")
+    until = before.rowsBetween(Window.unboundedPreceding, 0)
+    reach = lambda which: F.coalesce(F.max(F.when(which, F.col("end"))).over(until) >= F.col("stop"), F.lit(False))
+    elsewhere, here = F.col("keeper") < F.col("doc_id"), F.col("keeper") == F.col("doc_id")
+    first = F.last(F.when(elsewhere, F.col("keeper")), True).over(until)
+    marked = kept.withColumn("first", first).withColumn("mark", reach(elsewhere) & ~reach(here))
+    part = lambda df, name: df.withColumn("turn", (F.col("mark") != F.lag("mark").over(before)).cast("int")).withColumn(name, F.coalesce(F.sum("turn").over(until), F.lit(0)))
+    piece = Window.partitionBy("doc_id", "run", "piece")
+    enough = F.max("stop").over(piece) - F.min("start").over(piece) >= LEAST_BYTES
+    cut = part(part(marked, "piece").withColumn("mark", F.col("mark") & enough), "part")
+    first_doc_id = F.when(F.first("mark"), F.min("first")).otherwise(F.col("doc_id")).alias("first_doc_id")
+    out = cut.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), first_doc_id, F.first("mark").alias("is_repeat"))
+    return out.where(F.col("stop") - F.col("start") >= LEAST_BYTES).select("doc_id", "start", "stop", "first_doc_id", "is_repeat")

@@ -249,6 +249,21 @@ def test_passages_resist_insertions(spark):
     assert passages.repeated(no_documents(spark)).count() == 0 and passages.repeated(odd_documents(spark)).count() > 0
 
 
+def test_a_stray_chunk_elsewhere_does_not_take_the_passage(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared, other = text(80), text(60)
+    raw = shared.encode()
+    bounds = [int(x) for x in passages.cuts(raw)]
+    k = next(i for i in range(3, len(bounds) - 4) if bounds[i + 1] - bounds[i] >= passages.LEAST_CHUNK and bounds[i] > 200)
+    stray = raw[bounds[k] - passages.WINDOW : bounds[k + 1]].decode()
+    rows = [(1, f"{text(40)} {stray} {text(40)}"), (2, f"{text(30)} {shared} {text(30)}"), (3, f"{text(50)} {shared} {text(10)} {other}"), (4, f"{other} {text(20)}")]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["is_repeat"]) for r in got} == {(2, False), (3, True), (3, False), (4, True)}
+    assert {r["first_doc_id"] for r in got if r["doc_id"] == 3 and r["is_repeat"]} == {2}
+
+
 def test_gear_hash_is_a_window(spark):
     raw = bytes(random.Random(1).choices(range(256), k=300))
     h = passages.gear_hashes(raw)

@@ -412,7 +412,7 @@ def _fitted(spark: SparkSession, sf: str, panel_: DataFrame) -> DataFrame:
     from ..operators import stationarity
 
     params = stationarity.search_with_log(panel_, "daily_cleaned")
-    return grouped.fit_panel(panel_, params, "daily_cleaned", 60, 70, most=(2, 2, 1, 1), most_rounds=3)
+    return grouped.fit_panel(panel_, params, "daily_cleaned", 60, 70)
 
 
 @query()

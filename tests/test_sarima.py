@@ -47,3 +47,18 @@ def test_series_without_a_stationary_form_is_null(spark):
     params = spark.createDataFrame([("a", False, None, None, None, 7)], "ts_id string, found_stn boolean, func string, d int, seasonal_d int, S int")
     got = grouped.fit_panel(panel, params, "x", 5, 10).collect()
     assert len(got) == 45 and all(r["pred"] is None and r["p"] is None for r in got)
+
+
+def test_registered_fits_search_the_full_bounds(monkeypatch):
+    import inspect
+
+    from tessera.operators import stationarity
+    from tessera.plans import forecasts
+
+    real, calls = grouped.fit_panel, []
+    monkeypatch.setattr(stationarity, "search_with_log", lambda panel, value: None)
+    monkeypatch.setattr(grouped, "fit_panel", lambda *a, **k: calls.append((a, k)))
+    forecasts._fitted(None, "", None)
+    bound = inspect.signature(real).bind(*calls[0][0], **calls[0][1])
+    bound.apply_defaults()
+    assert bound.arguments["most"] == (5, 5, 2, 2) and bound.arguments["most_rounds"] >= 1000

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,6 +28,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Other rows in a batch for what runs inside: tables of many short rows."""
+    bounded_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        bounded_batches(spark)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

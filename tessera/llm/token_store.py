@@ -28,18 +28,46 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, filesystem, fresh_path, worker_cache
+from .common import Memo, bounded_batches, filesystem, fresh_path, worker_cache
 
+#: Signs that the pre-tokenizer always cuts off letters before them: ASCII signs but the apostrophe.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"TIDZ\x01\n\r\n"
 #: Documents whose ids the dictionary is trained on, its size in bytes, and zstandard's level.
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 400, 65_536, 3
 
 
+class Words(dict):
+    """Numbers of words and their ids by number; words that the generation before knew are taken over, others wait in fresh."""
+
+    def __init__(self, old: Words | None = None):
+        super().__init__()
+        self.old, self.raw, self.fresh, self.numbers = old, [], [], []
+        if old is not None:
+            old.old = None
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.raw)
+        k = None if self.old is None else self.old.get(word)
+        if k is None:
+            self.raw.append(None)
+            self.fresh.append(word)
+            self.numbers.append(n)
+        else:
+            self.raw.append(self.old.raw[k])
+        return n
+
+    def taken(self) -> tuple[list[str], list[int]]:
+        """The fresh words and their numbers, which are no longer fresh then."""
+        out, self.fresh, self.numbers = (self.fresh, self.numbers), [], []
+        return out
+
+
 class BlockEncoder:
     """Encodes with the tokenizers library; words seen before come from a bounded memo.
 
-    A byte-level pre-tokenizer always cuts before a single blank between two other characters, and between letters, a full
-    stop or comma, and a line feed; so text is encoded by such parts with the same result. Texts that may hold special
+    A byte-level pre-tokenizer always cuts before a single blank between two other characters, and between letters, a run of
+    signs, and a line feed; so text is encoded by such parts with the same result. Texts that may hold special
     tokens, and words next to more than one blank, go to the library as they are.
     """
 
@@ -58,82 +86,93 @@ class BlockEncoder:
         self.starts = np.zeros(self.spaced.get_vocab_size(), bool)
         self.starts[[i for x, i in self.spaced.get_vocab().items() if x.startswith("\u0120")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.new, self.old = most, {}, {}
-        self.marks = dict(zip(marks := [".", ",", "\n", ".\n", ",\n"], self._raw(self.tokenizer, marks), strict=True))
+        self.most, self.words = most, Words()
+        self.marks = Memo(lambda mark: self._raw(self.tokenizer, [mark])[0], 20_000)
         gc.set_threshold(200_000, 50, 1000)
 
     @staticmethod
     def _raw(tokenizer, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _after_blank(self, words: list[str]) -> list[tuple[str, bytes]]:
-        """Runs of letters with their ids as they are after a blank, many in one call: a new word starts at each id of a blank."""
+    def _after_blank(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters as they are after a blank, many in one call: a new word starts at each id of a blank."""
         out = []
         for low in range(0, len(words), 500):
-            part = words[low : low + 500]
-            ids = np.array(self.spaced.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.spaced.encode_batch_fast([" " + " ".join(words[low : low + 500])], add_special_tokens=False)[0].ids, "<u4")
             at = (np.flatnonzero(self.starts[ids]) * 4).tolist()
             raw = ids.tobytes()
-            out += zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)], strict=True)
+            out += [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)]
         return out
 
-    def _learn(self, missing: set[str]) -> set[str]:
-        """Ids of words as they are after a blank; where a full stop, comma or line feed follows letters, by parts.
-
-        Returns those that are empty or begin or end with white space: a cut beside them is no cut of the pre-tokenizer.
+    @staticmethod
+    def _cut(word: str) -> tuple[str, str, str, str] | None:
+        """Letters, signs and line feed, letters, signs; None if the word has another form."""
+        head, feed, tail = word.partition("\n")
+        a, b = head.rstrip(SIGNS), tail.rstrip(SIGNS)
+        if a.isalpha() and (b.isalpha() or not feed) and len(head) + len(tail) - len(a) - len(b) <= 16:
+            return a, head[len(a) :] + feed, b, tail[len(b) :]
+        return None
+
+    def _learn(self) -> None:
+        """Ids of the fresh words as they are after a blank; where signs or a line feed follow letters, by parts.
+
+        Words that are empty or begin or end with white space get none: a cut beside them is no cut of the pre-tokenizer.
         """
-        new, old = self.new, self.old
-        again = missing & old.keys()
-        new.update(zip(again, map(old.__getitem__, again), strict=True))
-        fresh = missing - again
-        whole = set(filter(str.isalpha, fresh))
-        odd, parts = [], []
-        for w in fresh - whole:
-            head, feed, tail = w.partition("\n")
-            mark = head[-1:] if head[-1:] in (".", ",") else ""
-            head = head[: len(head) - len(mark)]
-            if head.isalpha() and (tail.isalpha() or not feed):
-                parts.append((w, head, mark + feed, tail))
-            else:
+        words, raw = self.words, self.words.raw
+        letters, at_letters, odd, at_odd, parts, at_parts = [], [], [], [], [], []
+        for w, n in zip(*words.taken(), strict=True):
+            if w.isalpha():
+                letters.append(w)
+                at_letters.append(n)
+            elif (cut := self._cut(w)) is not None:
+                parts.append(cut)
+                at_parts.append(n)
+            elif w and not w[0].isspace() and not w[-1].isspace():
                 odd.append(w)
-        blank = {w for w in odd if not w or w[0].isspace() or w[-1].isspace()}
-        odd = [w for w in odd if w not in blank]
-        whole.update({head for _, head, _, _ in parts}.difference(new, old))
-        tails = list({tail for *_, tail in parts if tail})
-        new.update(self._after_blank(list(whole)))
-        new.update(zip(odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True))
+                at_odd.append(n)
+        heads = [words[head] for head, *_ in parts]
+        for own, more in zip((letters, at_letters), words.taken(), strict=True):
+            own += more
+        for n, x in zip(at_letters, self._after_blank(letters), strict=True):
+            raw[n] = x
+        for n, x in zip(at_odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True):
+            raw[n] = x
+        tails = list({tail for *_, tail, _ in parts if tail})
         bare = dict(zip(tails, self._raw(self.letters, tails), strict=True)) | {"": b""}
-        for w, head, mark, tail in parts:
-            new[w] = (new[head] if head in new else old[head]) + self.marks[mark] + bare[tail]
-        return blank
+        for n, head, (_, mark, tail, last) in zip(at_parts, heads, parts, strict=True):
+            raw[n] = raw[head] + self.marks[mark] + bare[tail] + self.marks[last]
 
     def after_blank(self, words: list[str]) -> list[bytes]:
-        """Ids of different words as they are after a blank, without the memo."""
-        ids = dict(self._after_blank([w for w in words if w.isalpha()]))
-        odd = [w for w in words if w not in ids]
+        """Ids of different words as they are after a blank, without the memo; signs behind letters are cut off."""
+        heads = {w: (cut[0], cut[1]) if "\n" not in w and (cut := self._cut(w)) is not None else (w, "") for w in words}
+        letters = [h for h in {h for h, _ in heads.values()} if h.isalpha()]
+        ids = dict(zip(letters, self._after_blank(letters), strict=True))
+        odd = [h for h, _ in heads.values() if h not in ids]
         ids.update(zip(odd, self._raw(self.tokenizer, [" " + w for w in odd]), strict=True))
-        return [ids[w] for w in words]
+        return [ids[h] + self.marks[mark] for h, mark in heads.values()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        new, missing = self.new, set()
-        words: list[tuple[str, list[str]] | None] = []
+        if len(self.words) >= self.most:
+            self.words = Words(self.words)
+        words, split = self.words, []
         for text in texts:
-            if any([x in text for x in self.special]):
-                words.append(None)
-            else:
-                first, *rest = text.split(" ")
-                missing.update(set(rest).difference(new))
-                words.append((first, rest))
-        blank = self._learn(missing)
-        words = [None if d is None or (d[1] and (not d[0] or d[0][-1].isspace())) or (blank and not blank.isdisjoint(d[1])) else d for d in words]
-        firsts = self._raw(self.tokenizer, [t if d is None else d[0] for t, d in zip(texts, words, strict=True)])
-        out = [x if d is None else x + b"".join(map(new.__getitem__, d[1])) for x, d in zip(firsts, words, strict=True)]
-        for w in [w for w in missing if len(w) > 64]:
-            new.pop(w, None)
-        return out
+            first, *rest = text.split(" ")
+            by_word = rest and first and not first[-1].isspace() and not any([x in text for x in self.special])
+            split.append((first, list(map(words.__getitem__, rest))) if by_word else (text, []))
+        long = [w for w in words.fresh if len(w) > 64]
+        self._learn()
+        whole, bodies = [], []
+        for text, (first, numbers) in zip(texts, split, strict=True):
+            try:
+                body = b"".join(map(words.raw.__getitem__, numbers))
+            except TypeError:  # a word without ids
+                first, body = text, b""
+            whole.append(first)
+            bodies.append(body)
+        for w in long:
+            words.raw[words.pop(w)] = b""
+        return [x + body for x, body in zip(self._raw(self.tokenizer, whole), bodies, strict=True)]
 
 
 def encoder(file: str) -> BlockEncoder:

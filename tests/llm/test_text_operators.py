@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from frames import no_documents, odd_documents  # noqa: E402
 
-from tessera.llm import decontaminate, language_model, lines, passages, pieces, pii, queries, simhash, token_store, toxicity  # noqa: E402
+from tessera.llm import decontaminate, lines, passages, pieces, pii, queries, simhash, token_store, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 PIECES, BLOCKS = queries.tokenizer_file("piece_bpe_32k.model"), queries.tokenizer_file("byte_bpe_50k.json")
@@ -65,7 +65,8 @@ def test_block_encoder_equals_the_library(spark):
     t = Tokenizer.from_file(BLOCKS)
     e = token_store.BlockEncoder(BLOCKS, most=200)
     alphabet = [*"aabce  \n\t\x1c\x85\xa0'’sétß0123.,<|>世😀²", "<|endoftext|>", "the", " ", "n't", ".\n"]
-    for batch in (texts(spark), fuzz(3, 4000, alphabet, 30), fuzz(4, 4000, [*"abcé.,'\n " * 2, "\0", "the "], 30)):
+    signs = [*"abé", " ", "\n", *token_store.SIGNS, "'", "'s", "9"]
+    for batch in (texts(spark), fuzz(8, 6000, signs, 14), fuzz(3, 4000, alphabet, 30), fuzz(4, 4000, [*"abcé.,'\n " * 2, "\0", "the "], 30)):
         want = [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(batch, add_special_tokens=False)]
         assert e.encode(batch) == want
 
@@ -304,81 +305,3 @@ def test_containment(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(df, items).collect()} == {2, 4, 6, 7, None}
     assert decontaminate.contained(no_documents(spark), items).count() == 0
     assert decontaminate.contained(df, items.limit(0)).count() == 0
-
-
-# ---------------------------------------------------------------- op9
-
-
-def test_language_model(spark):
-    import math
-    from collections import Counter
-
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").union(odd_documents(spark).where("k > 0 or k is null").select("doc_id", "text"))
-    got = language_model.score(docs, BLOCKS).collect()
-    rows = docs.collect()
-    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
-    counts = Counter(w for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2 for w in cut(r["text"]))
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(r["doc_id"]), len(w := cut(r["text"])), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w), 6)) for r in rows)
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["train_tokens"] == n and r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    assert language_model.score(no_documents(spark), BLOCKS).count() == 0
-
-
-def test_attention_gradient_and_one_score_for_each_token():
-    rng = np.random.default_rng(2)
-    layout = language_model.Layout(rng.integers(0, 500, 5000))
-    own = language_model.Attention(layout.slots)
-    s = rng.integers(0, layout.slots, (3, language_model.LENGTH))
-    target, weight = rng.integers(0, language_model.CLASSES, s.shape), np.ones(s.shape, np.float32)
-    _, g = own.step(s, target, weight)
-    for i in rng.choice(np.flatnonzero(np.abs(g) > 1e-3), 12, replace=False):
-        flat = own.flat.astype(np.float64)
-        up, down = flat.copy(), flat.copy()
-        up[i] += 1e-3
-        down[i] -= 1e-3
-        loss = [language_model.Attention(layout.slots, f).step(s, target, weight)[0] for f in (up, down)]
-        assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(g[i], rel=0.05, abs=1e-4)
-    sizes = np.array([1, 32, 33, 100, 7])
-    stream, targets = rng.integers(0, 5000, sizes.sum()), rng.integers(0, 5000, sizes.sum())
-    start, end, first = language_model.windows(sizes)
-    seen = np.zeros(sizes.sum(), int)
-    for a, z, f in zip(start, end, first, strict=True):
-        seen[a + f : min(a + language_model.LENGTH, z)] += 1
-    assert (seen == 1).all()
-    logs = language_model.stream_scores(stream, targets, sizes, layout, own.tables(), own.scores_bias().astype(np.float32), own.wo)
-    x, t = layout.slot_of[stream[:1]][None], layout.class_of[targets[:1]][None]
-    pad = np.full((1, language_model.LENGTH), layout.pad)
-    pad[0, 0] = x[0, 0]
-    one = np.zeros((1, language_model.LENGTH), np.float32)
-    one[0, 0] = 1
-    loss, _ = own.step(pad, np.full_like(pad, t[0, 0]), one)
-    assert logs[0] == pytest.approx(-loss + layout.within[targets[0]], abs=1e-3)
-
-
-def test_chances_of_all_ids_add_up():
-    layout = language_model.Layout(np.random.default_rng(1).integers(0, 50, 3000))
-    by_class = np.bincount(layout.class_of, np.exp(layout.within), language_model.CLASSES)
-    assert by_class[np.unique(layout.class_of)] == pytest.approx(1.0)
-
-
-def test_training_covers_every_id_of_long_and_of_all_documents(spark, monkeypatch):
-    kept, real = [], language_model.train
-    monkeypatch.setattr(language_model, "train", lambda found, layout: kept.append((layout, real(found, layout))) or kept[-1][1])
-    words = [w for w in "".join(c if c.isalpha() else " " for c in " ".join(texts(spark, 60))).lower().split()][:900]
-    rows = [(k, " ".join(words[k * 300 : (k + 1) * 300])) for k in range(3)]
-    learning = [r for r in rows if not language_model.is_held(r[0])]
-    language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), BLOCKS).collect()
-    layout, model = kept[0]
-    moved = (model.x != language_model.Attention(layout.slots).x).any(1)
-    ids = {i for _, t in learning for e in language_model.encoder(BLOCKS).after_blank(t.split()) for i in np.frombuffer(e, "<u4").tolist()}
-    assert len(learning) >= 2 and moved[layout.slot_of[sorted(ids)]].all()
-
-
-def test_lessons_give_each_id_weight_in_one_window():
-    layout = language_model.Layout(np.arange(1, 5001))
-    rows = [np.arange(n, dtype="<u2") for n in (0, 5, 31, 32, 33, 700)]
-    slots, classes, weight, places = language_model.lessons(rows, layout)
-    assert (np.bincount(places[weight], minlength=len(classes)) == np.r_[np.ones(len(classes) - 1), 0]).all()
-    target = np.concatenate([np.r_[x, layout.end] for x in rows]).astype(int)
-    assert (classes[:-1] == layout.class_of[target]).all() and (slots[:-1] == layout.slot_of[np.r_[layout.end, target[:-1]]]).all()

@@ -84,14 +84,4 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
     """,
     "op2_decontaminate": decontaminate.SQL,
-    "op10_neighbours": """
-        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        p AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v) AS score
-              FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
-        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
-        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
-    """,
 }

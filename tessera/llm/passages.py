@@ -9,7 +9,12 @@ bytes. A run is cut where stretches of smaller documents begin and end, and no s
 
 Defined results: null and empty texts have no passages; what repeats within one document only is none; rows that share a
 doc_id count as one document; a passage stays where its doc_id is smallest and is marked as a repeat elsewhere; offsets count
-bytes, ends exclusive. A chunk ends after MOST_CHUNK bytes at the latest. Extra columns are ignored.
+bytes, ends exclusive. A chunk ends after MOST_CHUNK bytes at the latest. Extra columns are ignored. The first and last bytes of a
+passage, before the first boundary that its own bytes make and behind the last, belong to chunks that differ and aren't marked;
+up to BRIDGE bytes between two marked chunks are marked with them.
+
+passage_dedup() cuts the marked repeats out of the texts, whole characters only. There all columns pass through; null texts stay
+null; rows without doc_id, and rows that share a doc_id but not the text, stay as they are.
 """
 
 from __future__ import annotations
@@ -110,3 +115,39 @@ def repeated(docs: DataFrame) -> DataFrame:
     first_doc_id = F.when(F.first("mark"), F.min("first")).otherwise(F.col("doc_id")).alias("first_doc_id")
     out = cut.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), first_doc_id, F.first("mark").alias("is_repeat"))
     return out.where(F.col("stop") - F.col("start") >= LEAST_BYTES).select("doc_id", "start", "stop", "first_doc_id", "is_repeat")
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """docs with the repeated passages gone from text wherever they are marked; the first document keeps them."""
+    names = docs.columns
+    texts = docs.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("__id")
+    spans = repeated(docs).where("is_repeat").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
+    spans = spans.withColumnRenamed("doc_id", "__id").join(texts, "__id", "left_anti")
+    spans, _ = materialize(spans, "repeats")
+    both = docs.withColumn("__id", F.col("doc_id").cast("long")).join(spans, "__id", "left")
+    place, of_spans = names.index("text"), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t if not x else cut_out(t, [(y["start"], y["stop"]) for y in x]) for t, x in zip(b.column(place).to_pylist(), b.column(of_spans).to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(b.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    bounded_batches(docs.sparkSession)
+    return both.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, docs.schema)
+
+
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without these spans of its bytes; a character that a span cuts stays."""
+    raw, kept, at = text.encode(), [], 0
+    inside = lambda k: k < len(raw) and raw[k] & 0xC0 == 0x80
+    for a, z in spans:
+        a, z = max(a, at), max(z, at)
+        while inside(a):
+            a += 1
+        while z > a and inside(z):
+            z -= 1
+        if a < z:
+            kept.append(raw[at:a])
+            at = z
+    return b"".join([*kept, raw[at:]]).decode()

@@ -5,7 +5,7 @@ the pairs of centroids by their summed nearness with a heap (the multi-sequence
 entries, and the entries are reranked by exact inner products. How many are enough is measured: for a sample of queries the
 true neighbours over all rows are found by brute force, and the number is set so that RECALL of them would be reached.
 
-Cells are taken from the heap in blocks of BLOCK second-half centroids of one first-half centroid. This holds at every size of
+Cells are taken from the heap in blocks: one first-half centroid and one in BLOCKS of the second-half ones. This holds at every size of
 the table: there is no other path for small ones.
 
 Rows with the same vector are one entry with its smallest ids, as many as a result can need, so a vector that a third of the
@@ -32,7 +32,7 @@ from .common import bounded_batches, materialize
 
 #: Neighbours, share of them to be found, least entries to rerank, sampled rows for codebooks, sampled queries for measuring.
 TOP, RECALL, LEAST_ENTRIES, FIT_ROWS, MEASURED = 20, 0.94, 100, 20_000, 96
-MOST_CENTROIDS, ROUNDS, BLOCK = 512, 12, 8
+MOST_CENTROIDS, ROUNDS, BLOCKS = 512, 12, 16
 TILE_ENTRIES, TILE_QUERIES, SLICE = 8192, 4096, 256
 
 
@@ -83,9 +83,10 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough:
     Along one first centroid the second ones come in the order of their nearness.
     """
     a, b = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable")
-    starts = np.arange(0, len(b), BLOCK)
+    size = -(-len(b) // BLOCKS)
+    starts = np.arange(0, len(b), size)
     held_of = np.add.reduceat(counts[:, b], starts, axis=1).tolist()
-    fa, fb, blocks = first[a].tolist(), second[b[starts]].tolist(), [b[x : x + BLOCK] for x in starts.tolist()]
+    fa, fb, blocks = first[a].tolist(), second[b[starts]].tolist(), [b[x : x + size] for x in starts.tolist()]
     heap, held = [(-(fa[0] + fb[0]), 0, 0)], 0
     while heap and held < enough:
         _, u, k = heapq.heappop(heap)

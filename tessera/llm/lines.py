@@ -1,14 +1,16 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 Tokens with digits are variable fields. A line goes down a tree of fixed depth: by its number of tokens, then by its first
-LEAD tokens. At a leaf the most frequent line (the earliest of equals) is the anchor; lines that agree with it in SIMILAR or
-more of their places share its template, the other places being variable; all others are templates of their own. A template
-that stands in two documents or more recurs: its lines are dropped everywhere but at its first place (smallest doc_id, then
-line). Lines under LEAST_TOKENS tokens are never dropped.
+LEAD tokens. At a leaf a token is fixed if two different lines or more have it at its place, the others are variable fields. A line
+most of whose tokens (SIMILAR or more, the leading ones included) are fixed belongs to the template of just these tokens, so a
+leaf can hold any number of templates and none of their lines need repeat exactly; any other line is a template of its own, and
+so is every line under LEAST_GENERAL tokens. A template that stands in two documents or more recurs: its lines are dropped
+everywhere but at its first place (smallest doc_id, then line). Lines of one token, and lines of nothing but variable fields
+and blanks, are never dropped.
 
 Defined results: a null text stays null, with no lines; an empty text stays empty; a document all of whose lines go keeps an
 empty text and its row; rows that share a doc_id count as one document and lose the same lines; rows without doc_id lose none.
-Columns other than doc_id and text pass through.
+Columns other than doc_id and text pass through, but columns named n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 
-LEAD, SIMILAR, LEAST_TOKENS = 3, 0.7, 5
+LEAD, SIMILAR, LEAST_TOKENS, LEAST_GENERAL = 3, 0.7, 2, 5
 #: Leaves up to which they are broadcast; more are joined by a shuffle.
 FEW_LEAVES = 200_000
 
@@ -29,27 +31,28 @@ def masked(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    kept = each.select("doc_id", "at", size.alias("n"), masked(F.col("line")).alias("m")).where(F.col("n") >= LEAST_TOKENS)
-    return kept.select("doc_id", "at", F.xxhash64("n", F.substring_index("m", " ", LEAD)).alias("leaf"), F.xxhash64("m").alias("pattern"), "m")
+    kept = each.select("doc_id", "at", size.alias("n"), masked(F.col("line")).alias("m")).where((F.col("n") >= LEAST_TOKENS) & F.replace("m", F.lit("<*>"), F.lit("")).rlike(r"\S"))
+    lead = F.when(F.col("n") >= LEAST_GENERAL, F.substring_index("m", " ", LEAD)).otherwise(F.col("m"))
+    return kept.select("doc_id", "at", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("m").alias("pattern"), "m")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id and drop (array of line numbers from 0) of every document that loses lines."""
     keys, _ = materialize(_lines(docs).drop("m"), "lines")
     first = F.min(F.struct("doc_id", "at")).alias("first")
-    patterns, _ = materialize(keys.groupBy("leaf", "pattern").agg(first, F.max("doc_id").alias("last"), F.count("*").alias("n")), "patterns")
-    rank = F.struct("n", -F.col("first.doc_id"), -F.col("first.at"))
-    leaves = patterns.groupBy("leaf").agg(F.max_by("pattern", rank).alias("anchor"), F.max("n").alias("most"), F.count("*").alias("kinds")).where("kinds > 1 and most > 1").select("leaf", "anchor")
+    patterns, _ = materialize(keys.groupBy("leaf", "pattern").agg(first, F.max("doc_id").alias("last")), "patterns")
+    leaves = patterns.groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("first.doc_id").alias("least"), F.max("last").alias("most")).where("kinds > 1 and least < most").select("leaf")
     leaves, _ = materialize(leaves, "leaves")
     few = leaves.count() <= FEW_LEAVES
-    texts = _lines(docs).join(F.broadcast(leaves) if few else leaves, "leaf").select("leaf", "pattern", "anchor", "m").groupBy("leaf", "pattern", "anchor").agg(F.min("m").alias("m"))
+    texts = _lines(docs).join(F.broadcast(leaves) if few else leaves, "leaf").groupBy("leaf", "pattern").agg(F.min("m").alias("m"))
     texts, _ = materialize(texts, "leaf-lines")
-    anchors = texts.where("pattern = anchor").select("leaf", F.split("m", " ").alias("model"))
     own = F.split("m", " ")
-    agree = F.size(F.filter(F.zip_with(own, F.col("model"), lambda x, y: x == y), lambda same: same))
-    alike = texts.where("pattern <> anchor").join(anchors, "leaf").where(agree >= F.size("model") * SIMILAR).select("leaf", "pattern", "anchor")
+    tokens = texts.select("leaf", "pattern", F.size(own).alias("n"), F.posexplode(F.slice(own, LEAD + 1, F.size(own))).alias("place", "token"))
+    shared, _ = materialize(tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "fixed-tokens")  # so that the next join can split a hot token
+    fixed = tokens.join(shared, ["leaf", "place", "token"]).groupBy("leaf", "pattern").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed"))
+    alike = fixed.where(F.size("fixed") + LEAD >= F.col("n") * SIMILAR).select("leaf", "pattern", F.xxhash64("fixed").alias("general"))
     alike, _ = materialize(alike, "templates")
-    named = lambda df: df.join(alike, ["leaf", "pattern"], "left").withColumn("template", F.coalesce("anchor", "pattern"))
+    named = lambda df: df.join(alike, ["leaf", "pattern"], "left").withColumn("template", F.coalesce("general", "pattern"))
     recurring = named(patterns).groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id < last").select("leaf", "template", "first")
     recurring, _ = materialize(recurring, "recurring")  # so that the next join can split a hot template
     gone = named(keys).join(recurring, ["leaf", "template"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
@@ -77,12 +80,15 @@ SQL = rf"""
         FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id IS NOT NULL)),
     k AS (
         SELECT doc_id, pos, length(line) - length(replace(line, ' ', '')) + 1 AS n, regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g') AS m FROM l),
-    keyed AS (SELECT doc_id, pos, n, m, list_slice(string_split(m, ' '), 1, {LEAD}) AS lead FROM k WHERE n >= {LEAST_TOKENS}),
-    p AS (SELECT n, lead, m, min((doc_id, pos)) AS first, max(doc_id) AS last, count(*) AS c FROM keyed GROUP BY n, lead, m),
-    a AS (SELECT *, first_value(m) OVER w AS anchor, first_value(c) OVER w AS most FROM p WINDOW w AS (PARTITION BY n, lead ORDER BY c DESC, first)),
+    keyed AS (SELECT doc_id, pos, n, m, CASE WHEN n >= {LEAST_GENERAL} THEN list_slice(string_split(m, ' '), 1, {LEAD}) ELSE string_split(m, ' ') END AS lead
+        FROM k WHERE n >= {LEAST_TOKENS} AND regexp_matches(replace(m, '<*>', ''), '\S')),
+    p AS (SELECT n, lead, m, min((doc_id, pos)) AS first, max(doc_id) AS last FROM keyed GROUP BY n, lead, m),
+    tok AS (SELECT n, lead, m, i AS place, string_split(m, ' ')[i] AS token FROM (SELECT n, lead, m, unnest(range({LEAD} + 1, n + 1)) AS i FROM p WHERE n >= {LEAST_GENERAL})),
+    f AS (SELECT *, count(*) OVER (PARTITION BY n, lead, place, token) > 1 AS fixed FROM tok),
+    g AS (SELECT n, lead, m, list(token ORDER BY place) FILTER (fixed) AS tokens, list(place ORDER BY place) FILTER (fixed) AS places FROM f GROUP BY n, lead, m),
     t AS (
-        SELECT *, CASE WHEN most > 1 AND len(list_filter(list_zip(string_split(m, ' '), string_split(anchor, ' ')), lambda x: x[1] = x[2]))
-                           >= len(string_split(anchor, ' ')) * {SIMILAR} THEN anchor ELSE m END AS template FROM a),
+        SELECT p.*, CASE WHEN len(g.tokens) + {LEAD} >= p.n * {SIMILAR} THEN [array_to_string(g.places, ',')] || g.tokens ELSE [p.m] END AS template
+        FROM p LEFT JOIN g ON g.n = p.n AND g.lead = p.lead AND g.m = p.m),
     r AS (SELECT n, lead, template, min(first) AS first, max(last) AS last FROM t GROUP BY n, lead, template),
     gone AS (
         SELECT keyed.doc_id, keyed.pos FROM keyed JOIN t ON keyed.n = t.n AND keyed.lead = t.lead AND keyed.m = t.m

@@ -36,28 +36,23 @@ def brute_lines(rows):
     import re
     from collections import Counter
 
-    where, first, last, count = {}, {}, {}, Counter()
+    where, first, last, at_leaf = {}, {}, {}, Counter()
     for d, text in rows:
-        for at, line in enumerate(text.split("\n")):
+        for at, line in enumerate((text or "").split("\n")):
             m = re.sub(r"\S*[0-9]\S*", "<*>", line)
             tokens = line.count(" ") + 1
-            if tokens >= lines.LEAST_TOKENS:
-                key = (tokens, tuple(m.split(" ")[: lines.LEAD]), m)
+            if tokens >= lines.LEAST_TOKENS and re.search(r"\S", m.replace("<*>", "")):
+                key = (tokens, tuple(m.split(" ")[: lines.LEAD if tokens >= lines.LEAST_GENERAL else tokens]), m)
                 where[d, at] = key
-                count[key] += 1
                 first[key] = min(first.get(key, (d, at)), (d, at))
                 last[key] = max(last.get(key, d), d)
-    anchor = {}
-    for key in count:
-        best = anchor.get(key[:2])
-        if best is None or (-count[key], first[key]) < (-count[best], first[best]):
-            anchor[key[:2]] = key
+    for n, lead, m in first:
+        at_leaf.update((n, lead, k, x) for k, x in enumerate(m.split(" ")))
     template = {}
-    for key in count:
-        a = anchor[key[:2]]
-        x, y = key[2].split(" "), a[2].split(" ")
-        alike = count[a] > 1 and sum(p == q for p, q in zip(x, y, strict=True)) >= len(y) * lines.SIMILAR
-        template[key] = a if alike else key
+    for key in first:
+        n, lead, m = key
+        fixed = tuple((k, x) for k, x in enumerate(m.split(" ")) if k < lines.LEAD or at_leaf[n, lead, k, x] > 1)
+        template[key] = (n, lead, fixed) if n >= lines.LEAST_GENERAL and len(fixed) >= n * lines.SIMILAR else key
     start, end = {}, {}
     for key, t in template.items():
         start[t] = min(start.get(t, first[key]), first[key])
@@ -65,7 +60,7 @@ def brute_lines(rows):
     out = {}
     for d, text in rows:
         kept = []
-        for at, line in enumerate(text.split("\n")):
+        for at, line in enumerate((text or "").split("\n")):
             t = template[where[d, at]] if (d, at) in where else None
             if t is None or start[t][0] == end[t] or start[t] == (d, at):
                 kept.append(line)

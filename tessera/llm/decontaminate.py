@@ -1,14 +1,17 @@
 """Benchmark decontamination by MinHash containment search, in DataFrame operations only.
 
-Items are partitioned by their number of distinct shingles q (classes by powers of two). Of each item the k smallest
-shingle hashes are its MinHash sketch, k = floor((1 - CONTAINED) * u) + 1 with u the largest q of its class. A document that
-contains CONTAINED of an item misses at most k - 1 of its shingles, so it holds one of the sketch at least: looking up the
-sketches in the documents' shingle hashes misses nothing, however long the document is. What they find is verified by
-the exact share of the item's shingles, as strings, that the document contains.
+Items are partitioned by their number of distinct shingles q (classes by powers of two). Of each item k shingle hashes are
+its MinHash sketch, k = floor((1 - CONTAINED) * u) + 1 with u the largest q of its class: those that the fewest items have,
+the smallest of equals, so that a phrase that many items share pairs them with documents only where nothing else is left. A
+document that contains CONTAINED of an item misses at most k - 1 of its shingles, so it holds one of the sketch at least:
+looking up the sketches in the documents' shingle hashes misses nothing, however long the document is. The pairs of document
+and item that they find, and no others, are verified by the exact share of the item's shingles, as strings, that the document
+contains.
 
 Words are runs of anything but ASCII white space, lower-cased; shingles have five words. Defined results: an item of fewer words
 is one shingle of all its words, looked up among the documents' runs of as many words; items and documents without words are
-found nowhere; item rows that share an item_id are one item of all their shingles; rows that share a doc_id are one document.
+found nowhere; item rows that share an item_id are one item of all their shingles; rows that share a doc_id are one document;
+extra columns are ignored, and decontaminate() passes them through.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize
 
 SHINGLE, CONTAINED = 5, 0.8
-#: Rows up to which sketches, or ids of candidate documents, are broadcast; more are joined by a shuffle.
-FEW_ROWS = 500_000
+#: Bytes up to which sketches, items' shingles or ids of candidate documents are broadcast; more are joined by a shuffle.
+FEW_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -41,7 +44,10 @@ def shingles(w: Column, sizes: list[int]) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+    """A written table, to be broadcast if its rows, at 32 bytes each, and its strings are within FEW_BYTES."""
+    strings = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    size = df.agg(F.coalesce(F.sum(sum(strings, F.lit(32))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= FEW_BYTES else df
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
@@ -61,11 +67,12 @@ def _hash_of(shingle: Column) -> Column:
 
 
 def sketches(shingled: DataFrame) -> DataFrame:
-    """item_id, h: the k smallest hashes of each item, k by its size class."""
-    sets = shingled.groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+    """item_id, h: k hashes of each item, k by its size class."""
+    spread = shingled.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
+    sets = shingled.select("item_id", "h").distinct().join(spread, "h").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("items", "h"))).alias("hs"))
     top = F.pow(F.lit(2.0), F.floor(F.log2(F.size("hs"))) + 1) - 1
     k = (F.floor(top * (1 - CONTAINED) + 1e-9) + 1).cast("int")
-    return sets.select("item_id", F.explode(F.slice("hs", F.lit(1), k)).alias("h"))
+    return sets.select("item_id", F.explode(F.slice("hs", F.lit(1), k)["h"]).alias("h"))
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -74,12 +81,16 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in of_items.select(F.least(F.size(F.split("shingle", " ")), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     looked_up = own.select("doc_id", F.explode(hashes(F.col("w"), sizes)).alias("h"))
-    candidates, _ = materialize(looked_up.join(_small(sketches(of_items)), "h").select("doc_id", "item_id").distinct(), "candidates")
-    some = own.join(_small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-    held = some.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), sizes))).alias("shingle"))
-    shared = held.join(_small(of_items.select("item_id", "shingle")), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    whole = of_items.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    found = shared.join(candidates, ["doc_id", "item_id"]).join(_small(whole), "item_id")
+    sketched, _ = materialize(sketches(of_items), "sketches")
+    candidates, _ = materialize(looked_up.join(_small(sketched), "h").select("doc_id", "item_id").distinct(), "candidates")
+    holders, _ = materialize(candidates.select("doc_id").distinct(), "holders")
+    wanted, _ = materialize(of_items.join(_small(candidates.select("item_id").distinct()), "item_id", "left_semi").select("item_id", "shingle"), "wanted")
+    asked, _ = materialize(wanted.select("shingle").distinct(), "asked")
+    held = own.join(_small(holders), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), sizes))).alias("shingle"))
+    held = held.join(_small(asked), "shingle", "left_semi").distinct()
+    shared = candidates.join(_small(wanted), "item_id").join(held, ["doc_id", "shingle"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    whole, _ = materialize(of_items.groupBy("item_id").agg(F.count("*").alias("n_item")), "item-sizes")
+    found = shared.join(_small(whole), "item_id")
     return found.where(F.col("n_shared") >= F.col("n_item") * CONTAINED).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 

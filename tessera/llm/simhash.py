@@ -166,7 +166,12 @@ def _neighbourhood(fp: Column) -> Column:
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b), a < b, that join exactly the distinct fingerprints (column fp) at most `radius` bits apart; radius <= 4."""
+    """Links (a, b), a < b, that join exactly the distinct fingerprints (column fp) at most `radius` bits apart.
+
+    Smaller radii than RADIUS work up to the first bucket over LARGE, for which there are no neighbourhoods; then it raises.
+    """
+    if not 0 < radius <= RADIUS:
+        raise ValueError(f"radius {radius}")
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)])
     keyed = prints.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
@@ -177,7 +182,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     centre = stars.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
     extra = stars.join(centre, "point").where("fp <> a").select("a", F.col("fp").alias("b"))
     few = found.where("not large").select("a", "b")
-    return (few.unionByName(extra) if radius == RADIUS and large.take(1) else few).distinct()
+    if large.isEmpty():
+        return few.distinct()
+    if radius != RADIUS:
+        raise ValueError(f"radius {radius}: a bucket is over {LARGE}")
+    return few.unionByName(extra).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -190,17 +199,22 @@ def with_components(hashed: DataFrame) -> DataFrame:
     """A written table with doc_id and fp, with component_id added."""
     prints = hashed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints.select("fp")))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named, _ = materialize(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    smallest, _ = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")  # both written, so that the join can split a giant component
     of_print, _ = materialize(named.join(smallest, "root").select("fp", "component_id"), "components")
     return hashed.join(of_print, "fp")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns of docs; repeated rows of it go."""
+    """The document with the smallest doc_id of each component, with all columns of docs; repeated rows of it go.
+
+    Of rows that have the id and the text in common but differ elsewhere, the one with the smallest hash of all columns stays.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     keys, _ = materialize(with_fingerprints(own).drop("text"), "fingerprints")
     kept = with_components(keys).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
     at = docs.select("*", F.col("doc_id").cast("long").alias("__own_id"), F.xxhash64("text").alias("__own_content"))
     same = at.join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_content") == F.col("__content")), "left_semi")
-    return same.dropDuplicates(["__own_id", "__own_content"]).drop("__own_id", "__own_content")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    one = same.groupBy("__own_id", "__own_content").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    return one.select("row.*")

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from frames import no_documents, odd_documents  # noqa: E402
+from oracle import same  # noqa: E402
 
 from tessera.llm import decontaminate, lines, passages, pieces, pii, queries, simhash, token_store, toxicity  # noqa: E402
 
@@ -124,7 +126,79 @@ def test_em_finds_the_reliable_labelers():
         votes = "".join("1" if (truth if rng.random() < good else not truth) else "0" for good in (0.95, 0.9, 0.9, 0.5, 0.85, 0.5))
         counts[votes] = counts.get(votes, 0) + 1
     _, rate, _ = pii.reliabilities(sorted((4, v, n) for v, n in counts.items()))
-    assert rate[0][0] > 0.9 and rate[1][0] < 0.1 and abs(rate[0][3] - 0.5) < 0.06
+    assert rate[4][0][0] > 0.9 and rate[4][1][0] < 0.1 and abs(rate[4][0][3] - 0.5) < 0.06
+
+
+def test_reliabilities_are_those_of_each_kind():
+    """A labeler that is right for one kind and says 1 to everything for another."""
+    rng = np.random.default_rng(2)
+    counts = {}
+    for k in (4, 7):
+        for _ in range(3000):
+            truth = rng.random() < 0.5
+            good = (0.95, 0.9, 0.9, 0.85, 0.85, 0.8)
+            said = ["1" if (truth if rng.random() < g else not truth) else "0" for g in good]
+            if k == 7:
+                said[0] = "1"
+            key = (k, "".join(said))
+            counts[key] = counts.get(key, 0) + 1
+    _, rate, _ = pii.reliabilities(sorted((*key, n) for key, n in counts.items()))
+    assert rate[4][1][0] < 0.1 and rate[7][1][0] > 0.9 and rate[7][0][1] > 0.85
+
+
+def test_span_classifier_learns_from_text_what_votes_leave_open():
+    """Spans whose votes abstain follow spans of like characters and like words around them; held out from the fit."""
+    rng = random.Random(6)
+    def span(real):
+        body = "".join(rng.choices("0123456789abcdef", k=24)) if real else "".join(rng.choices("aeiourstln", k=9))
+        text = f"the {'auth' if real else 'draft'} note says id={body} today"
+        at = text.index(body)
+        return pii.features(text, at, 4, at + len(body), "------")
+    truth = [k % 2 for k in range(400)]
+    rows = [np.array(span(t)) for t in truth]
+    w = pii.fit(rows[:300], np.array([0.85 if t else 0.2 for t in truth[:300]]))
+    assert np.mean([(w[x].sum() + w[-1] >= 0) == bool(t) for x, t in zip(rows[300:], truth[300:], strict=True)]) > 0.97
+
+
+def test_names_and_addresses_are_proposed():
+    text = "Contact: Maria Lopez, 12 Green Park Road, or Dr. Klein-Weber there."
+    got = [(pii.KINDS[k], text[a:z]) for a, k, z, _ in pii.candidates(text)]
+    assert got == [("name", "Maria Lopez"), ("address", "12 Green Park Road"), ("name", "Klein-Weber")]
+
+
+def test_cards_and_phones_equal_the_patterns():
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    def luhn(d):
+        own = [int(c) for c in reversed(d)]
+        return sum(own[::2]) % 10 == -sum(sum(divmod(2 * x, 10)) for x in own[1::2]) % 10
+    texts_ = fuzz(21, 3000, [*"0123456789" * 3, " ", "-", "  ", "a", "4111 1111 1111 1111"], 30) + fuzz(22, 6000, [*"0123456789", "+", " ", "(", ")", ".", "-", "a", "+1 "], 24)
+    hits = 0
+    for text in texts_:
+        want = [(m.start(), 2, m.end()) for m in card.finditer(text) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+        want += [(m.start(), 3, m.end()) for m in phone.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        got = [x for x in pii.base_spans(text) if x[1] in (2, 3)]
+        assert sorted(want) == got
+        hits += len(got)
+    assert hits > 100
+
+
+def test_detect_over_the_table(spark):
+    """Base columns against the plain patterns over whole documents; all spans hold the base ones and are sorted."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text_of = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = pii.detect(docs).collect()
+    assert len(got) == len(text_of)
+    for r in got:
+        text = text_of[r["doc_id"]]
+        base = sorted([(m.start(), 0, m.end()) for m in email.finditer(text)] + [(m.start(), 1, m.end()) for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))] + [x for x in pii.base_spans(text) if x[1] > 1])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for _, k, _ in base) for x in range(4)]
+        said = [f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        every = [x.split(":") for x in r["spans"].split(",")] if r["spans"] else []
+        order = [(int(a), pii.KINDS.index(k)) for k, a, _ in every]
+        assert set(said) <= {":".join(x) for x in every} and order == sorted(order)
 
 
 # ---------------------------------------------------------------- op5
@@ -305,3 +379,40 @@ def test_containment(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(df, items).collect()} == {2, 4, 6, 7, None}
     assert decontaminate.contained(no_documents(spark), items).count() == 0
     assert decontaminate.contained(df, items.limit(0)).count() == 0
+
+
+def test_containment_of_repeated_rows_and_clashing_columns(spark):
+    """Rows that share an id are one item or one document; other columns change nothing, also without any broadcast."""
+    parts = ["a b c d e f g", "g h i j k l m n", "g h i j k l m n"]
+    items = spark.createDataFrame([(1, t, "x", 5) for t in parts] + [(None, "q r s t u", "y", 1)], "item_id long, text string, doc_id string, n_shared int")
+    docs = spark.createDataFrame([(7, "x " + parts[0], "a"), (7, parts[1] + " y", "b"), (7, parts[1], "b"), (8, parts[0], "c"), (9, "Q R S T U", None)], "doc_id long, text string, item_id string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontaminate.contained(docs, items).collect()}
+    assert got == {(7, 1): (7, 7)}
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()) == [8, 9]
+
+
+def test_containment_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEW_BYTES", -1)
+    _, extra, missing = same(spark, queries.QUERIES["op2_decontaminate"], queries.ORACLE_SQL["op2_decontaminate"], FOLDER)
+    assert not extra and not missing
+
+
+def test_a_phrase_that_all_items_share_is_in_a_sketch_only_where_nothing_else_is_left(spark):
+    common = "which of these is the right answer"
+    items = spark.createDataFrame([(k, f"{common} " + " ".join(f"w{k}x{i}" for i in range(12))) for k in range(50)], "item_id long, text string")
+    shingled = decontaminate.item_shingles(items)
+    shared = {r["h"] for r in shingled.groupBy("h").count().where("count > 1").collect()}
+    assert shared and not shared & {r["h"] for r in decontaminate.sketches(shingled).collect()}
+
+
+def test_lines_against_brute_force_over_odd_rows(spark):
+    from test_pipeline import brute_lines
+
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, f"All rights reserved.\n{long}\n12 34\n"), (2, f"{long}\nAll rights reserved.\n12 34"), (3, "see the page of Anna today please\nsee the page of Bert today please"), (4, "see the page of Carl today please\n\nAll rights reserved."), (5, None), (6, ""), (7, "word\nword"), (8, "word")]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n_lines int, source string")
+    got = lines.line_dedup(docs)
+    assert got.columns == ["doc_id", "text", "source", "n_lines", "n_dropped"]
+    want = brute_lines(rows)
+    assert {r["doc_id"]: r["text"] or "" for r in got.collect()} == want
+    assert want[4] == "" and want[8] == "word" and want[2].endswith("12 34") and "reserved" not in want[2]

@@ -31,8 +31,9 @@ def masked(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    kept = each.select("doc_id", "at", size.alias("n"), masked(F.col("line")).alias("m")).where((F.col("n") >= LEAST_TOKENS) & F.replace("m", F.lit("<*>"), F.lit("")).rlike(r"\S"))
-    lead = F.when(F.col("n") >= LEAST_GENERAL, F.substring_index("m", " ", LEAD)).otherwise(F.col("m"))
+    some = (size >= LEAST_TOKENS) & F.col("line").rlike(r"(^|\s)[^\s0-9]+(\s|$)")  # a token without digits
+    kept = each.where(some).select("doc_id", "at", size.alias("n"), masked(F.col("line")).alias("m"))
+    lead = F.call_function("substring_index", "m", F.lit(" "), F.when(F.col("n") >= LEAST_GENERAL, LEAD).otherwise(F.col("n")))
     return kept.select("doc_id", "at", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("m").alias("pattern"), "m")
 
 
@@ -45,12 +46,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     leaves, _ = materialize(leaves, "leaves")
     few = leaves.count() <= FEW_LEAVES
     texts = _lines(docs).join(F.broadcast(leaves) if few else leaves, "leaf").groupBy("leaf", "pattern").agg(F.min("m").alias("m"))
-    texts, _ = materialize(texts, "leaf-lines")
-    own = F.split("m", " ")
-    tokens = texts.select("leaf", "pattern", F.size(own).alias("n"), F.posexplode(F.slice(own, LEAD + 1, F.size(own))).alias("place", "token"))
-    shared, _ = materialize(tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "fixed-tokens")  # so that the next join can split a hot token
-    fixed = tokens.join(shared, ["leaf", "place", "token"]).groupBy("leaf", "pattern").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed"))
-    alike = fixed.where(F.size("fixed") + LEAD >= F.col("n") * SIMILAR).select("leaf", "pattern", F.xxhash64("fixed").alias("general"))
+    own = F.transform(F.split("m", " "), lambda token, place: F.xxhash64(place, token))
+    texts, _ = materialize(texts.select("leaf", "pattern", own.alias("tokens")), "leaf-lines")
+    tokens = texts.select("leaf", "pattern", F.size("tokens").alias("n"), F.explode(F.slice("tokens", LEAD + 1, F.size("tokens"))).alias("token"))
+    shared, _ = materialize(tokens.groupBy("leaf", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "fixed-tokens")  # so that the next join can split a hot token
+    general = F.xxhash64(F.bit_xor("token"), F.bit_xor(F.xxhash64("token")), F.count("*"))
+    fixed = tokens.join(shared, ["leaf", "token"]).groupBy("leaf", "pattern").agg(F.first("n").alias("n"), F.count("*").alias("fixed"), general.alias("general"))
+    alike = fixed.where(F.col("fixed") + LEAD >= F.col("n") * SIMILAR).select("leaf", "pattern", "general")
     alike, _ = materialize(alike, "templates")
     named = lambda df: df.join(alike, ["leaf", "pattern"], "left").withColumn("template", F.coalesce("general", "pattern"))
     recurring = named(patterns).groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id < last").select("leaf", "template", "first")
@@ -79,9 +81,9 @@ SQL = rf"""
         SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line
         FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id IS NOT NULL)),
     k AS (
-        SELECT doc_id, pos, length(line) - length(replace(line, ' ', '')) + 1 AS n, regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g') AS m FROM l),
+        SELECT doc_id, pos, length(line) - length(replace(line, ' ', '')) + 1 AS n, regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g') AS m, line FROM l),
     keyed AS (SELECT doc_id, pos, n, m, CASE WHEN n >= {LEAST_GENERAL} THEN list_slice(string_split(m, ' '), 1, {LEAD}) ELSE string_split(m, ' ') END AS lead
-        FROM k WHERE n >= {LEAST_TOKENS} AND regexp_matches(replace(m, '<*>', ''), '\S')),
+        FROM k WHERE n >= {LEAST_TOKENS} AND regexp_matches(line, '(^|\s)[^\s0-9]+(\s|$)')),
     p AS (SELECT n, lead, m, min((doc_id, pos)) AS first, max(doc_id) AS last FROM keyed GROUP BY n, lead, m),
     tok AS (SELECT n, lead, m, i AS place, string_split(m, ' ')[i] AS token FROM (SELECT n, lead, m, unnest(range({LEAD} + 1, n + 1)) AS i FROM p WHERE n >= {LEAST_GENERAL})),
     f AS (SELECT *, count(*) OVER (PARTITION BY n, lead, place, token) > 1 AS fixed FROM tok),

@@ -25,7 +25,8 @@ FEW_LEAVES = 200_000
 
 
 def masked(line: Column) -> Column:
-    return F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")
+    """Tokens with a digit become <*>; the pattern looks at each token once, from its start."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:

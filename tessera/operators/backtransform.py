@@ -62,3 +62,16 @@ def back_transform(predicted_daily: DataFrame, predicted_weekly: DataFrame, hist
     return combine(daily, weekly_to_daily(weeks, shares, ["weekly_level_predbt", "weekly_wowGr_predbt"]))
 
 
+def fitted_weekly_growth_to_level(fitted: DataFrame, growth: str = "weekly_wowGr", level: str = "weekly_level", to: str = "weekly_wowGr_predbt") -> DataFrame:
+    """For a sample that starts with the history: the seed is the first fitted week, whose own result stays NULL."""
+    along = Window.partitionBy("ts_id").orderBy("time_w")
+    own = fitted.withColumns({"k": F.row_number().over(along), "seed": F.first(level).over(along)})
+    own = own.withColumn("g", F.when(F.col("k") == 1, F.lit(0.0)).otherwise(F.col(growth)))
+    return own.withColumn(to, F.when(F.col("k") > 1, F.col("seed") * _compound(F.col("g"), along))).drop("k", "seed", "g")
+
+
+def back_transform_fitted(fitted_daily: DataFrame, fitted_weekly: DataFrame, shares: DataFrame) -> DataFrame:
+    """The four variants of the sample that starts with the history, seeded by its own first fitted values."""
+    daily = fitted_growth_to_level(fitted_daily).select("ts_id", "time_d", F.col("daily_level").alias("daily_level_predbt"), "daily_wowGr_predbt")
+    weeks = fitted_weekly_growth_to_level(fitted_weekly).select("ts_id", "time_w", F.col("weekly_level").alias("weekly_level_predbt"), "weekly_wowGr_predbt")
+    return combine(daily, weekly_to_daily(weeks, shares, ["weekly_level_predbt", "weekly_wowGr_predbt"]))

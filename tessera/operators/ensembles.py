@@ -58,6 +58,12 @@ def best_model(overall: DataFrame) -> DataFrame:
     return overall.where("loss is not null").agg(F.min_by("model", F.struct("loss", "model")).alias("model"), F.min("loss").alias("loss"))
 
 
+def lengths_check(df: DataFrame) -> DataFrame:
+    """Series that don't have as many rows as the longest; empty where all are equally long."""
+    n = df.groupBy("ts_id").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.max("n").alias("most")))).where("n <> most")
+
+
 def weights(by_series: DataFrame, k: int) -> DataFrame:
     """Long weights: 1 / (loss + SMALL) of the k best, normalised by series; equal weights if all losses are NULL."""
     whole = Window.partitionBy("ts_id")

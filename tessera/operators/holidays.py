@@ -41,7 +41,7 @@ def flags(cleaned: DataFrame, holidays: DataFrame) -> DataFrame:
     label = F.concat("holiday", F.when(F.col("adjusted"), "_adj").otherwise("_noadj"))
     named = named.select("ts_id", "month", "day", label.alias("holiday"))
     keyed = cleaned.withColumns({"month": F.month("time_d"), "day": F.day("time_d"), "daily_level": F.col("daily_cleaned")})
-    return keyed.join(F.broadcast(named), ["ts_id", "month", "day"], "left").withColumn("holiday", F.coalesce("holiday", F.lit("regular_day"))).drop("month", "day")
+    return keyed.join(named, ["ts_id", "month", "day"], "left").withColumn("holiday", F.coalesce("holiday", F.lit("regular_day"))).drop("month", "day")
 
 
 def reholiday(models: DataFrame, factor: DataFrame, history: DataFrame, columns: list[str], match: str = "date") -> DataFrame:

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import spine
+from ..storage import materialize
 
 
 def dense(sparse: DataFrame, value: str, keys: tuple[str, ...] = ("ts_id",), time: str = "time_d") -> DataFrame:
     """Every series on every date between the first and last of the whole frame; days without rows are NULL.
 
-    The dates come from one row of bounds, so the spine is exploded beside each series without a join of two tables.
+    sparse has a date at most once for each series. Every row becomes the dates up to the series' next row, so the sparse rows
+    are shuffled by series once and the dense panel, which keeps that partitioning, never.
     """
-    bounds = sparse.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    grid = sparse.select(*keys).distinct().join(F.broadcast(bounds)).select(*keys, spine(F.col("lo"), F.col("hi")).alias(time))
-    return grid.join(sparse.select(*keys, time, value), [*keys, time], "left")
+    bounds = sparse.agg(F.min(time).alias("__lo"), F.max(time).alias("__hi"))
+    along = Window.partitionBy(*keys).orderBy(time)
+    own = sparse.select(*keys, F.col(time).alias("__at"), F.col(value).alias("__x"), F.lead(time).over(along).alias("__next"), F.row_number().over(along).alias("__k"))
+    until = F.coalesce(F.date_sub("__next", 1), "__hi")
+    since = F.when(F.col("__k") == 1, F.col("__lo")).otherwise(F.col("__at"))
+    days = own.join(F.broadcast(bounds)).select(*keys, "__at", "__x", spine(since, until).alias(time))
+    return days.select(*keys, time, F.when(F.col(time) == F.col("__at"), F.col("__x")).alias(value))
 
 
 def wide_to_long(wide: DataFrame, ids: list[str], value: str, time: str = "time_d") -> DataFrame:
@@ -31,8 +37,10 @@ def long_to_wide(long: DataFrame, ids: list[str], name: Column, names: list[str]
 
 
 def series_ids(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys with a 0-based id in key order. Numbers come from range-partitioned ranks, not from one task."""
-    ranked = long.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
-    counted = ranked.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
-    before = counted.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__start", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    return counted.join(F.broadcast(before), "__part").select((F.coalesce("__start", F.lit(0)) + F.col("__k") - 1).alias("ts_id"), *keys)
+    """Distinct keys with a 0-based id in key order. Numbers come from ranks within written ranges, not from one task."""
+    ranges = long.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranked, _ = materialize(ranges.withColumn("__part", F.spark_partition_id()), "series")  # both branches below read the same ranges
+    before = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = before.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return ranked.join(F.broadcast(before), "__part").select((F.col("__start") + at - 1).alias("ts_id"), *keys)

@@ -68,3 +68,19 @@ def search_with_log(df: DataFrame, value: str, season: int = 7, threshold: float
     pick = lambda n, to: F.when(F.col("found_asis"), F.col(f"{n}_asis")).otherwise(F.col(f"{n}_log")).alias(to)
     func = F.when(F.col("found_asis"), "asis").when(F.col("found_log"), "log").alias("func")
     return both.select("ts_id", (F.col("found_asis") | F.col("found_log")).alias("found_stn"), func, pick("diff", "d"), pick("seasonal", "seasonal_d"), "S")
+
+
+def stationary_series(df: DataFrame, params: DataFrame, value: str, to: str = "stn") -> DataFrame:
+    """ts_id, time_d and the series as the search found it stationary: logarithm and differences by params; NULL where none was."""
+    both = df.select("ts_id", "time_d", F.col(value).alias("__x")).join(params.select("ts_id", "found_stn", "func", "d", "seasonal_d", "S"), "ts_id")
+    both = both.withColumn("__y", F.when(F.col("func") == "log", F.ln(one_for_zero(F.col("__x")))).otherwise(F.col("__x")))
+    along = Window.partitionBy("ts_id").orderBy("time_d")
+    y = F.col("__y")
+    # lags of two orders, by the seasons that occur in one search: 1 or 7
+    at = lambda k: F.lag("__y", k).over(along)
+    seasonal = lambda s: {(0, 0): y, (1, 0): y - at(1), (0, 1): y - at(s), (1, 1): (y - at(1)) - (at(s) - at(s + 1)), (2, 0): (y - at(1)) - (at(1) - at(2))}
+    pick = F.lit(None).cast("double")
+    for s in (1, 7):
+        for (d, seasonal_d), x in seasonal(s).items():
+            pick = F.when((F.col("S") == s) & (F.col("d") == d) & (F.col("seasonal_d") == seasonal_d), x).otherwise(pick)
+    return both.select("ts_id", "time_d", F.when(F.col("found_stn"), pick).alias(to))

@@ -19,6 +19,16 @@ def parse_dated_key(keys: DataFrame, page: str = "Page") -> DataFrame:
     return keys.withColumns(dict(zip(PARTS, parts, strict=True)) | {"time_d": F.to_date(day, "yyyy-MM-dd")})
 
 
+def with_series(keys: DataFrame, page_map: DataFrame) -> DataFrame:
+    """Key rows (with name, project, access, agent) and the ts_id of their page; every key row must have exactly one.
+
+    Raises while the query runs if a key row finds no series; page_map has each page once.
+    """
+    both = keys.join(page_map.select("ts_id", *PARTS), list(PARTS), "left")
+    found = F.when(F.col("ts_id").isNull(), F.raise_error(F.concat(F.lit("no series for page "), F.concat_ws("_", *PARTS)))).otherwise(F.col("ts_id"))
+    return both.withColumn("ts_id", found)
+
+
 def submission(forecasts: DataFrame, key: DataFrame) -> DataFrame:
     """Every row of the key (ts_id, time_d, Id) with its forecasts."""
     return forecasts.join(key, ["ts_id", "time_d"], "right")

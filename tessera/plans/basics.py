@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keys import split_right
 from ..operators import backtransform, clean, holidays, panel as panels, report, stationarity, transform
+from .scope import scoped
 from .panels import SPARSE, clean_sql, panel, panel_sql, spiked, spiked_sql
 
 QUERIES: dict = {}
@@ -40,7 +41,7 @@ def query(sql: str | None = None, name: str | None = None):
 
     def add(f):
         key = name or f.__name__
-        QUERIES[key] = f
+        QUERIES[key] = scoped(f)
         if sql is not None:
             SQL[key] = nudged(sql)
         return f
@@ -322,6 +323,15 @@ def stationarity_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return _searched(spark, sf).where("func is not null").groupBy("found_stn", "func", "d", "seasonal_d").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_LOG}, b AS ({_BOTH}), x AS (SELECT p.ts_id, time_d, found_stn, d, seasonal_d, CASE WHEN func = 'log' THEN ln(CASE WHEN daily_cleaned = 0 THEN 1 ELSE daily_cleaned END) ELSE daily_cleaned END AS y FROM pa_c p JOIN b ON b.ts_id = p.ts_id)
+    SELECT ts_id, time_d, round(CASE WHEN NOT found_stn THEN NULL WHEN d = 0 AND seasonal_d = 0 THEN y WHEN d = 1 AND seasonal_d = 0 THEN y - lag(y, 1) OVER w WHEN d = 0 AND seasonal_d = 1 THEN y - lag(y, 7) OVER w
+        WHEN d = 1 AND seasonal_d = 1 THEN (y - lag(y, 1) OVER w) - (lag(y, 7) OVER w - lag(y, 8) OVER w) WHEN d = 2 THEN (y - lag(y, 1) OVER w) - (lag(y, 1) OVER w - lag(y, 2) OVER w) END, 6) AS stn FROM x {_W}""")
+def stationary_series(spark: SparkSession, sf: str) -> DataFrame:
+    """The series in the form that the search found stationary."""
+    cleaned = _cleaned(spark, sf, "pa")
+    return stationarity.stationary_series(cleaned, _searched(spark, sf), "daily_cleaned").select("ts_id", "time_d", r("stn"))
+
+
 # ---------------------------------------------------------------- back-transforms by actual growths
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..operators import backtransform, clean, components, ensembles, report, stats, submission, topline, transform
+from ..operators import backtransform, clean, components, ensembles, panel as panels, report, stats, submission, topline, transform
 from ..sarima import grouped
 from .basics import _PA_WEEKS, _WG, growth_sql, query, r, rounded, weeks_sql
+from .scope import once
 from .panels import HORIZON, SERIES_LAGS, TOPLINE_LAGS, clean_sql, panel, panel_sql
 
 MODELS = [*SERIES_LAGS, *TOPLINE_LAGS, *components.SEASONAL_TRUNCATED]
@@ -22,6 +23,11 @@ def levels(spark: SparkSession, sf: str) -> DataFrame:
     return clean.daily_clean(panel(spark, sf, "pe")).withColumns({"daily_level": F.col("daily_cleaned"), "day_of_week": F.weekday("time_d")})
 
 
+def kept_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """levels() for queries that read them several times."""
+    return once("levels", lambda: levels(spark, sf))
+
+
 _TOP = f"""md AS (SELECT *, median(daily_level) OVER (PARTITION BY ts_id) AS mid FROM lv),
     ts0 AS (SELECT grp, time_d, coalesce(sum(daily_level), 0) AS daily_level_noShrtAdj, coalesce(sum(daily_untouched), 0) AS daily_untouched_noShrtAdj,
         coalesce(sum(CASE WHEN missing_type <> 'missing_short' THEN mid END), 0) AS ok, coalesce(sum(CASE WHEN missing_type = 'missing_short' THEN mid END), 0) AS short FROM md GROUP BY 1, 2),
@@ -75,7 +81,7 @@ _PROP = f"""{summary_sql('sg', 'ts_id, grp')}, hp AS (SELECT ts_id, grp, {', '.j
 
 
 def shares(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.proportions(stats.summary(levels(spark, sf), ("ts_id", "grp")))
+    return stats.proportions(stats.summary(kept_levels(spark, sf), ("ts_id", "grp")))
 
 
 @query(f"WITH {_LV}, {_PROP} SELECT ts_id, grp, {', '.join(f'round({n}, 8) AS {n}' for n in stats.SHARES)} FROM hp")
@@ -94,7 +100,7 @@ _IW = f"""{summary_sql('sd', 'ts_id, day_of_week')},
 
 
 def week_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.intraweek(stats.summary(levels(spark, sf), ("ts_id", "day_of_week")))
+    return stats.intraweek(stats.summary(kept_levels(spark, sf), ("ts_id", "day_of_week")))
 
 
 @query(f"WITH {_LV}, {_IW} SELECT ts_id, day_of_week, round(share, 8) AS share FROM iw")
@@ -105,7 +111,7 @@ def intraweek_distribution(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_LV}, {_IW}, {weeks_sql('we', 'lv', {'daily_level': 'weekly_level'})}
     SELECT we.ts_id, time_w + (day_of_week - 6)::INT AS time_d, round(weekly_level * share, 4) AS weekly_level FROM we JOIN iw USING (ts_id)""")
 def weekly_to_daily(spark: SparkSession, sf: str) -> DataFrame:
-    weekly = transform.weekly(levels(spark, sf), {"daily_level": "weekly_level"})
+    weekly = transform.weekly(kept_levels(spark, sf), {"daily_level": "weekly_level"})
     return backtransform.weekly_to_daily(weekly, week_shares(spark, sf), ["weekly_level"]).withColumn("weekly_level", rounded("weekly_level", 4))
 
 
@@ -119,7 +125,7 @@ def weekly_to_daily(spark: SparkSession, sf: str) -> DataFrame:
     SELECT da.ts_id, da.time_d, round(daily_level_predbt, 4) AS daily_level_predbt, round(daily_wowGr_predbt, 4) AS daily_wowGr_predbt, round(a, 4) AS weekly_level_predbt, round(b, 4) AS weekly_wowGr_predbt
     FROM da LEFT JOIN wd ON wd.ts_id = da.ts_id AND wd.time_d = da.time_d""")
 def back_transform_all(spark: SparkSession, sf: str) -> DataFrame:
-    full = transform.daily_growth(clean.daily_clean(panel(spark, sf, "pa")).withColumn("daily_level", F.col("daily_cleaned")))
+    full = once("growth", lambda: transform.daily_growth(clean.daily_clean(panel(spark, sf, "pa")).withColumn("daily_level", F.col("daily_cleaned"))))
     weeks = transform.weekly_growth(transform.weekly(full, {"daily_level": "weekly_level"}))
     share = stats.intraweek(stats.summary(full, ("ts_id", "day_of_week")))
     last_weeks = weeks.join(F.broadcast(weeks.agg(F.date_sub(F.max("time_w"), 63).alias("from"))), F.col("time_w") >= F.col("from")).drop("from")
@@ -128,7 +134,7 @@ def back_transform_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _distributed(spark: SparkSession, sf: str) -> DataFrame:
-    return topline.distribute(topline.daily(levels(spark, sf)), shares(spark, sf), ["daily_level_noShrtAdj"], "hist_prop_last60days")
+    return topline.distribute(topline.daily(kept_levels(spark, sf)), shares(spark, sf), ["daily_level_noShrtAdj"], "hist_prop_last60days")
 
 
 @query(f"WITH {_LV}, {_TOP}, {_PROP} SELECT ts_id, time_d, grp, round(daily_level_noShrtAdj * hist_prop_last60days, 4) AS daily_level_noShrtAdj FROM tp JOIN hp USING (grp)")
@@ -139,7 +145,7 @@ def distribute_topline(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_LV}, {_TOP}, {_PROP}, di AS (SELECT grp, sum(daily_level_noShrtAdj * hist_prop_last60days) AS a FROM tp JOIN hp USING (grp) GROUP BY 1), t AS (SELECT grp, sum(daily_level_noShrtAdj) AS b FROM tp GROUP BY 1)
     SELECT grp, abs(a - b) <= 1e-8 * abs(b) AS conserved FROM di JOIN t USING (grp)""")
 def distribute_conservation(spark: SparkSession, sf: str) -> DataFrame:
-    given = topline.daily(levels(spark, sf)).groupBy("grp").agg(F.sum("daily_level_noShrtAdj").alias("b"))
+    given = topline.daily(kept_levels(spark, sf)).groupBy("grp").agg(F.sum("daily_level_noShrtAdj").alias("b"))
     dealt = _distributed(spark, sf).groupBy("grp").agg(F.sum("daily_level_noShrtAdj").alias("a"))
     return given.join(dealt, "grp").select("grp", (F.abs(F.col("a") - F.col("b")) <= 1e-8 * F.abs("b")).alias("conserved"))
 
@@ -179,7 +185,11 @@ _MATRIX = f"{_LV}, {_TOP}, {_LIM}, {_MM}"
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The 12 component models of panel pe on the last 60 days; lagged levels stand in for the fitted ones."""
-    lv = levels(spark, sf)
+    return once("matrix", lambda: _matrix(spark, sf))
+
+
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    lv = kept_levels(spark, sf)
     lagged = lambda df, by, value, lags: df.select(by, "time_d", *[F.lag(value, k).over(Window.partitionBy(by).orderBy("time_d")).alias(m) for m, k in lags.items()])
     own = report.last_days(lagged(lv, "ts_id", "daily_level", SERIES_LAGS), HORIZON)
     own = own.withColumn("mod_ts_weekly_level", F.when(F.day("time_d") != 15, F.col("mod_ts_weekly_level")))
@@ -230,7 +240,7 @@ _LOSSES = f"{_MATRIX}, {_ACT}, {_LOSS}"
 
 
 def with_actuals(spark: SparkSession, sf: str) -> DataFrame:
-    actual = report.last_days(levels(spark, sf), HORIZON).select("ts_id", "time_d", "daily_level", "daily_untouched")
+    actual = report.last_days(kept_levels(spark, sf), HORIZON).select("ts_id", "time_d", "daily_level", "daily_untouched")
     return matrix(spark, sf).join(actual, ["ts_id", "time_d"])
 
 
@@ -348,7 +358,7 @@ _KEY = "sk AS (SELECT ts_id, time_d, md5(ts_id || '_' || strftime(time_d, '%Y-%m
 
 def _key(spark: SparkSession, sf: str) -> DataFrame:
     """Key rows as a submission file has them: a dated page and an id."""
-    rows = report.last_days(levels(spark, sf), HORIZON).select(F.concat("ts_id", F.lit("_"), F.date_format("time_d", "yyyy-MM-dd")).alias("Page"))
+    rows = report.last_days(kept_levels(spark, sf), HORIZON).select(F.concat("ts_id", F.lit("_"), F.date_format("time_d", "yyyy-MM-dd")).alias("Page"))
     keyed = rows.withColumn("Id", F.md5("Page")).withColumns({"ts_id": F.regexp_extract("Page", "^(.*)_([^_]*)$", 1), "time_d": F.to_date(F.regexp_extract("Page", "^(.*)_([^_]*)$", 2))})
     return keyed.select("ts_id", "time_d", "Id")
 
@@ -362,7 +372,7 @@ def submission_join(spark: SparkSession, sf: str) -> DataFrame:
        + " UNION ALL ".join(f"SELECT '{m}' AS model, round({smape_sql(m, 'daily_untouched')}, 6) AS loss FROM ac" for m in MODELS))
 def score_submission(spark: SparkSession, sf: str) -> DataFrame:
     key = _key(spark, sf)
-    solution = levels(spark, sf).join(key, ["ts_id", "time_d"]).select("Id", F.col("daily_untouched").alias("Visits"))
+    solution = kept_levels(spark, sf).join(key, ["ts_id", "time_d"]).select("Id", F.col("daily_untouched").alias("Visits"))
     return submission.score(submission.submission(matrix(spark, sf), key), submission.truth(solution, key), MODELS).select("model", r("loss"))
 
 
@@ -431,13 +441,46 @@ def sarima_spec(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.specification(sarima_fit_series(spark, sf))
 
 
-@query()
+_BLENDS = ["postValiMod_ens_ranked1", "postValiMod_ens_ranked5"]
+_BLENDED = ", ".join(f"{' + '.join(f'CASE WHEN x{k}.reWt_{m} <> 0 THEN x{k}.reWt_{m} * coalesce(ac.{m}, 0) ELSE 0 END' for m in MODELS)} AS {b}" for k, b in zip((1, 5), _BLENDS, strict=True))
+
+
+@query(f"""WITH {_MATRIX}, {_ENS}, ac AS (SELECT en.*, l.daily_untouched FROM en JOIN lv l ON l.ts_id = en.ts_id AND l.time_d = en.time_d),
+    {_LOSS}, {_RANK}, {weights_sql(1)}, {weights_sql(5)}, bl AS (SELECT ac.*, {_BLENDED} FROM ac JOIN x1 ON x1.ts_id = ac.ts_id JOIN x5 ON x5.ts_id = ac.ts_id) """
+       + " UNION ALL ".join(f"SELECT '{m}' AS model, round({smape_sql(m, 'daily_untouched')}, 6) AS loss FROM bl" for m in [*MODELS, *ENSEMBLES, *_BLENDS]))
 def forecast_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Clean, components, ensembles, losses, ranks, weights, blends and the final score of every model."""
+    models = once("ensembles", lambda: ensembles.functionwise(ensembles.pointwise(with_actuals(spark, sf), MODELS), MODELS))
+    by_series = once("losses", lambda: ensembles.losses(models, "daily_untouched", MODELS))
+    for k, name in zip((1, 5), _BLENDS, strict=True):
+        models = ensembles.blend(models, ensembles.wide_weights(ensembles.weights(by_series, k), MODELS), MODELS, name)
+    return ensembles.losses(models, "daily_untouched", [*MODELS, *ENSEMBLES, *_BLENDS], ()).select("model", r("loss"))
+
+
+@query(f"WITH {_MATRIX}, {_ENS}, ac AS (SELECT en.*, l.daily_untouched FROM en JOIN lv l ON l.ts_id = en.ts_id AND l.time_d = en.time_d), ov AS ("
+       + " UNION ALL ".join(f"SELECT '{m}' AS model, {smape_sql(m, 'daily_untouched')} AS loss FROM ac" for m in ENSEMBLES)
+       + ") SELECT arg_min(model, (loss, model)) AS model, round(min(loss), 6) AS loss FROM ov WHERE loss IS NOT NULL")
+def best_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     models = ensembles.functionwise(ensembles.pointwise(with_actuals(spark, sf), MODELS), MODELS)
-    by_series = ensembles.losses(models, "daily_untouched", MODELS)
-    for k in (1, 5):
-        models = ensembles.blend(models, ensembles.wide_weights(ensembles.weights(by_series, k), MODELS), MODELS, f"postValiMod_ens_ranked{k}")
-    return ensembles.losses(models, "daily_untouched", [*MODELS, *ENSEMBLES, "postValiMod_ens_ranked1", "postValiMod_ens_ranked5"], ())
+    return ensembles.best_model(ensembles.losses(models, "daily_untouched", ENSEMBLES, ())).select("model", r("loss"))
+
+
+@query(f"WITH {_LV}, n AS (SELECT ts_id, count(*) AS n FROM lv GROUP BY 1) SELECT ts_id, n, (SELECT max(n) FROM n) AS most FROM n WHERE n <> (SELECT max(n) FROM n)")
+def equal_lengths_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Must be empty: series with fewer rows than the longest."""
+    return ensembles.lengths_check(levels(spark, sf))
+
+
+_PAGES = "SELECT row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_linenumber) - 1 AS ts_id, l_returnflag || '_x' AS name, l_linestatus AS project, 'all' AS access, l_linenumber::VARCHAR AS agent FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem)"
 
 
+@query(f"""WITH p AS ({_PAGES}), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time_d FROM lineitem WHERE l_shipdate >= DATE '2001-10-01')
+    SELECT p.*, time_d, md5(name || '_' || project || '_' || access || '_' || agent || '_' || strftime(time_d, '%Y-%m-%d')) AS Id FROM p CROSS JOIN d""")
+def submission_page_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Dated page keys and their series' ids, by the four parts of the page."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    parts = lines.select(F.concat("l_returnflag", F.lit("_x")).alias("name"), F.col("l_linestatus").alias("project"), F.lit("all").alias("access"), F.col("l_linenumber").alias("agent"))
+    pages = panels.series_ids(parts, ["name", "project", "access", "agent"]).withColumn("agent", F.col("agent").cast("string"))
+    days = lines.select(F.col("l_shipdate").cast("date").alias("time_d")).where("time_d >= date'2001-10-01'").distinct()
+    dated = pages.join(F.broadcast(days)).select(F.concat_ws("_", "name", "project", "access", "agent", F.date_format("time_d", "yyyy-MM-dd")).alias("Page")).withColumn("Id", F.md5("Page"))
+    return submission.with_series(submission.parse_dated_key(dated), pages).drop("Page")

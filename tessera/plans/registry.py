@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basics, forecasts  # noqa: F401  forecasts adds its own
+from . import basics, fitted, forecasts  # noqa: F401  the others add their own
 
 QUERIES = dict(basics.QUERIES)
 SQL = dict(basics.SQL)

@@ -11,6 +11,47 @@ from .search import missing, search
 SCHEMA = "ts_id string, variable string, sample string, time_d date, pred double, p int, d int, q int, seasonal_p int, seasonal_d int, seasonal_q int, season int, include_intercept boolean, cost double"
 
 
+def fit_variables(stacked: DataFrame, params: DataFrame, horizons: dict[str, tuple[int, int, int]], most: tuple[int, int, int, int] = (5, 5, 2, 2), most_rounds: int = 1000, tasks: int | None = None) -> DataFrame:
+    """stacked (ts_id, variable, time_d, y) and params (ts_id, variable, found_stn, func, d, seasonal_d, S) -> samples of every variable.
+
+    horizons: variable -> (values held for validation, forecast steps, days a step). Values that aren't at even steps without
+    gaps are an error; a series that is no longer than its validation gets NULL predictions.
+    """
+    both = stacked.join(params.select("ts_id", "variable", "found_stn", "func", "d", "seasonal_d", "S"), ["ts_id", "variable"])
+    if tasks:
+        both = both.repartition(tasks, "ts_id", "variable")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n_validation, n_forecast, step_days = horizons[pdf["variable"].iloc[0]]
+        return fit_group(pdf, n_validation, n_forecast, step_days, most, most_rounds, even=True)
+
+    return both.groupBy("ts_id", "variable").applyInPandas(fit, SCHEMA)
+
+
+def fit_group(pdf: pd.DataFrame, n_validation: int, n_forecast: int, step_days: int, most: tuple[int, int, int, int], most_rounds: int, even: bool = False) -> pd.DataFrame:
+    """Rows of one series and variable -> its samples."""
+    pdf = pdf.sort_values("time_d")
+    y, row, days = pdf["y"].to_numpy(float), pdf.iloc[0], list(pdf["time_d"])
+    if even and any((b - a).days != step_days for a, b in zip(days[:-1], days[1:], strict=True)):
+        raise ValueError(f"{row['ts_id']} {row['variable']}: values are not {step_days} days apart")
+    short, n_validation = len(days) <= n_validation, min(n_validation, len(days))
+    if not short and row["found_stn"] and not np.isnan(y).all():
+        found = search(y, int(row["d"]), int(row["seasonal_d"]), int(row["S"]), n_validation, n_forecast, use_log=row["func"] == "log", most=most, most_rounds=most_rounds)
+    else:
+        found = missing(len(y), n_validation, n_forecast)
+    ahead = [days[-1] + pd.Timedelta(days=step_days * (k + 1)) for k in range(n_forecast)]
+    samples = [("fitted", days, found.fitted), ("valicast", days[len(days) - n_validation :], found.valicast), ("forecast", ahead, found.forecast)]
+    o = found.order
+    out = pd.concat([pd.DataFrame({"sample": s, "time_d": t, "pred": v}) for s, t, v in samples], ignore_index=True)
+    out.insert(0, "ts_id", row["ts_id"])
+    out.insert(1, "variable", row["variable"])
+    for name, attribute in (("p", "p"), ("d", "d"), ("q", "q"), ("seasonal_p", "P"), ("seasonal_d", "D"), ("seasonal_q", "Q"), ("season", "S")):
+        out[name] = pd.array([None if o is None else getattr(o, attribute)] * len(out), dtype="Int32")
+    out["include_intercept"] = pd.array([None if o is None else o.has_mean] * len(out), dtype="boolean")
+    out["cost"] = found.cost
+    return out
+
+
 def fit_panel(panel: DataFrame, params: DataFrame, value: str, n_validation: int = 60, n_forecast: int = 70, step_days: int = 1, most: tuple[int, int, int, int] = (5, 5, 2, 2), most_rounds: int = 1000, tasks: int | None = None) -> DataFrame:
     """panel (ts_id, time_d, value) and params (ts_id, found_stn, func, d, seasonal_d, S) -> samples fitted, valicast and forecast.
 
@@ -19,24 +60,7 @@ def fit_panel(panel: DataFrame, params: DataFrame, value: str, n_validation: int
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_d")
-        y, row = pdf["y"].to_numpy(float), pdf.iloc[0]
-        if row["found_stn"] and not np.isnan(y).all():
-            found = search(y, int(row["d"]), int(row["seasonal_d"]), int(row["S"]), n_validation, n_forecast, use_log=row["func"] == "log", most=most, most_rounds=most_rounds)
-        else:
-            found = missing(len(y), n_validation, n_forecast)
-        days = list(pdf["time_d"])
-        ahead = [days[-1] + pd.Timedelta(days=step_days * (k + 1)) for k in range(n_forecast)]
-        samples = [("fitted", days, found.fitted), ("valicast", days[len(days) - n_validation :], found.valicast), ("forecast", ahead, found.forecast)]
-        o = found.order
-        out = pd.concat([pd.DataFrame({"sample": s, "time_d": t, "pred": v}) for s, t, v in samples], ignore_index=True)
-        out.insert(0, "ts_id", row["ts_id"])
-        out.insert(1, "variable", value)
-        for name, attribute in (("p", "p"), ("d", "d"), ("q", "q"), ("seasonal_p", "P"), ("seasonal_d", "D"), ("seasonal_q", "Q"), ("season", "S")):
-            out[name] = pd.array([None if o is None else getattr(o, attribute)] * len(out), dtype="Int32")
-        out["include_intercept"] = pd.array([None if o is None else o.has_mean] * len(out), dtype="boolean")
-        out["cost"] = found.cost
-        return out
+        return fit_group(pdf.assign(variable=value), n_validation, n_forecast, step_days, most, most_rounds)
 
     both = panel.select("ts_id", "time_d", F.col(value).alias("y")).join(params.select("ts_id", "found_stn", "func", "d", "seasonal_d", "S"), "ts_id")
     if tasks:

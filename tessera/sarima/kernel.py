@@ -46,15 +46,43 @@ def differencing(o: Order) -> np.ndarray:
     return out
 
 
-def inverse_filter(a: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    """e with theta(B) e = a and e = 0 before the start."""
-    if len(theta) == 1:
-        return a
-    n, q = len(a), len(theta) - 1
-    back, out = -theta[1:][::-1], np.zeros(n + q)
-    for t in range(n):
-        out[t + q] = a[t] + back @ out[t : t + q]
-    return out[q:]
+class Inverse:
+    """theta(B) e = a solved for e, with e = 0 before the start, for one series or several side by side.
+
+    Blocks of BLOCK steps: within a block e is a triangular matrix times a; what the block before leaves is added from its end.
+    """
+
+    BLOCK = 64
+
+    def __init__(self, theta: np.ndarray):
+        self.q = q = len(theta) - 1
+        if not q:
+            return
+        self.block = b = max(self.BLOCK, q)
+        back, psi = theta[1:], np.zeros(b)
+        psi[0] = 1.0
+        for t in range(1, b):
+            k = min(t, q)
+            psi[t] = -(back[:k] @ psi[t - k : t][::-1])
+        lag = np.arange(b)[:, None] - np.arange(b)[None, :]
+        self.inside = np.where(lag >= 0, psi[np.maximum(lag, 0)], 0.0)
+        ahead = np.arange(q)[:, None] + q - np.arange(q)[None, :]  # steps from the place c of the tail to the row r of the block
+        reach = np.zeros((b, q))
+        reach[:q] = np.where(ahead <= q, theta[np.minimum(ahead, q)], 0.0)
+        self.over = self.inside @ reach
+
+    def __call__(self, a: np.ndarray) -> np.ndarray:
+        if not self.q:
+            return a
+        n, b = len(a), self.block
+        wide = a.reshape(n, -1)
+        k = wide.shape[1]
+        full = np.zeros((-(-n // b) * b, k))
+        full[:n] = wide
+        out = (self.inside @ full.reshape(-1, b, k)).reshape(len(full), k)
+        for low in range(b, len(full), b):
+            out[low : low + b] -= self.over @ out[low - self.q : low]
+        return out[:n].reshape(a.shape)
 
 
 class Fit:
@@ -86,7 +114,28 @@ class Fit:
 
     def _residuals(self, x: np.ndarray) -> np.ndarray:
         phi, theta, mean = self._parts(x)
-        return inverse_filter(np.convolve(self.w - mean, phi, "valid"), theta)
+        return Inverse(theta)(np.convolve(self.w - mean, phi, "valid"))
+
+    def _jacobian(self, x: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Derivatives of the residuals by each parameter: filtered lags of the series and of the residuals themselves."""
+        o, at = self.order, 0
+        parts = []
+        for n in (o.p, o.q, o.P, o.Q):
+            parts.append(x[at : at + n])
+            at += n
+        ar, ma, sar, sma = parts
+        none = np.zeros(0)
+        phi, theta, mean = self._parts(x)
+        w, m = self.w - mean, len(e)
+        by_sar, by_ar = (np.convolve(w, polynomial(a, b, o.S, -1.0))[: len(w)] for a, b in ((none, sar), (ar, none)))
+        by_sma, by_ma = (np.convolve(e, polynomial(a, b, o.S, 1.0))[:m] for a, b in ((none, sma), (ma, none)))
+        first = len(w) - m
+        back = lambda v, lag: np.r_[np.zeros(min(lag, m)), v[: max(0, m - lag)]]
+        columns = [-by_sar[first - i : len(w) - i] for i in range(1, o.p + 1)] + [-back(by_sma, j) for j in range(1, o.q + 1)]
+        columns += [-by_ar[first - o.S * i : len(w) - o.S * i] for i in range(1, o.P + 1)] + [-back(by_ma, o.S * j) for j in range(1, o.Q + 1)]
+        if o.has_mean:
+            columns.append(np.full(m, -phi.sum()))
+        return Inverse(theta)(np.column_stack(columns))
 
     def _start(self) -> np.ndarray:
         """Least squares on lags and on the residuals of a long autoregression (Hannan and Rissanen 1982)."""
@@ -110,7 +159,7 @@ class Fit:
         return np.r_[ar_n, ma_n, sar_n, sma_n, [mean] if o.has_mean else []]
 
     def _estimate(self, rounds: int) -> np.ndarray:
-        """Damped Gauss-Newton steps with a numerical Jacobian."""
+        """Damped Gauss-Newton steps."""
         x = self._start()
         with np.errstate(all="ignore"):
             e = self._residuals(x)
@@ -121,8 +170,7 @@ class Fit:
                 e = self._residuals(x)
             best, damp = float(e @ e), 1e-3
             for _ in range(rounds if len(x) else 0):
-                h = 1e-5 * np.maximum(1.0, np.abs(x))
-                jac = np.column_stack([(self._residuals(x + h[k] * np.eye(len(x))[k]) - e) / h[k] for k in range(len(x))])
+                jac = self._jacobian(x, e)
                 if not np.isfinite(jac).all():
                     break
                 moved = False

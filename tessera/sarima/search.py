@@ -82,6 +82,9 @@ def search(y: np.ndarray, d: int, D: int, S: int, n_validation: int = 60, n_fore
             if np.isfinite(value) and (best is None or value < best[0]):
                 best, gained = (value, o, fit, ahead), True
         forced = turn == 0 and d + D <= 1
+        if best is None and turn == 0 and (again := [replace(o, const=0) for o in grid if o.const]) and d + D == 0:
+            grid = again  # no start with a constant could be fitted: the same ones without it
+            continue
         if best is None or not (gained or forced):
             break
         grid = neighbours(best[1], most)

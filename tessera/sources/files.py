@@ -39,8 +39,21 @@ class TableStore:
         df = df.sortWithinPartitions(*sort) if sort else df
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition).parquet(self.path(name))
 
+    def partitions(self, name: str) -> list[str]:
+        """Columns that the table's folders are named by."""
+        fs, path = self._fs()
+        out, where = [], self.path(name)
+        while fs.exists(path(where)):
+            inside = [x.getPath().getName() for x in fs.listStatus(path(where)) if x.isDirectory() and "=" in x.getPath().getName()]
+            if not inside:
+                break
+            out.append(inside[0].split("=")[0])
+            where = f"{where}/{inside[0]}"
+        return out
+
     def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(self.path(name))
+        """Adds rows, in the folders that put() laid out."""
+        df.write.mode("append").option("compression", "zstd").partitionBy(*self.partitions(name)).parquet(self.path(name))
 
     def get(self, name: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
         """Columns and filters reach the scan."""
@@ -71,6 +84,15 @@ class TableStore:
         fs.delete(path(self.path(name)), True)
 
     def rename(self, old: str, new: str) -> None:
-        self.drop(new)
+        """A table named new goes only once the other has its name."""
+        if not self.exists(old):
+            raise FileNotFoundError(old)
         fs, path = self._fs()
-        fs.rename(path(self.path(old)), path(self.path(new)))
+        aside = f"{new}.replaced"
+        if self.exists(new) and not fs.rename(path(self.path(new)), path(self.path(aside))):
+            raise OSError(f"{new} can't be moved")
+        if not fs.rename(path(self.path(old)), path(self.path(new))):
+            if self.exists(aside):
+                fs.rename(path(self.path(aside)), path(self.path(new)))
+            raise OSError(f"{old} can't be renamed")
+        self.drop(aside)

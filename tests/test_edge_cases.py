@@ -173,3 +173,45 @@ def test_series_ids_are_in_key_order(spark):
 def test_dated_key(spark):
     row = submission.parse_dated_key(spark.createDataFrame([Row(Page="A_b_c_en.x.org_all_spider_2017-09-10")])).first()
     assert (row["name"], row["project"], row["access"], row["agent"], row["time_d"]) == ("A_b_c", "en.x.org", "all", "spider", dt.date(2017, 9, 10))
+
+
+def test_dense_fills_between_before_and_after(spark):
+    day = lambda k: START + dt.timedelta(days=k)
+    sparse = spark.createDataFrame([("a", day(2), 1.0), ("a", day(5), 2.0), ("b", day(0), 3.0), ("c", day(6), None)], "ts_id string, time_d date, x double")
+    got = {(r["ts_id"], (r["time_d"] - START).days): r["x"] for r in panel.dense(sparse, "x").collect()}
+    assert len(got) == 21 and {k: v for k, v in got.items() if v is not None} == {("a", 2): 1.0, ("a", 5): 2.0, ("b", 0): 3.0}
+    assert panel.dense(sparse.limit(0), "x").count() == 0
+
+
+def test_series_ids_have_no_gaps_over_many_ranges(spark):
+    keys = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.lit("x").alias("z"))
+    got = panel.series_ids(keys.union(keys), ["k", "z"]).orderBy("ts_id").collect()
+    assert [r["ts_id"] for r in got] == list(range(5000)) == [r["k"] for r in got]
+
+
+def test_weekly_growth_from_fitted_weeks(spark):
+    rows = [("a", START + dt.timedelta(days=6 + 7 * k), level, growth) for k, (level, growth) in enumerate([(10.0, None), (99.0, 0.5), (99.0, 1.0), (99.0, None), (99.0, 1.0)])]
+    df = spark.createDataFrame(rows, "ts_id string, time_w date, weekly_level double, weekly_wowGr double")
+    got = [r["weekly_wowGr_predbt"] for r in backtransform.fitted_weekly_growth_to_level(df).orderBy("time_w").collect()]
+    assert got == [None, 15.0, 30.0, None, None]
+
+
+def test_key_rows_without_a_series_are_an_error(spark):
+    pages = spark.createDataFrame([(0, "n", "p", "a", "g")], "ts_id long, name string, project string, access string, agent string")
+    keys = submission.parse_dated_key(spark.createDataFrame([("n_p_a_g_2024-01-01", "i1")], "Page string, Id string"))
+    assert [r["ts_id"] for r in submission.with_series(keys, pages).collect()] == [0]
+    lost = submission.parse_dated_key(spark.createDataFrame([("n_p_a_x_2024-01-01", "i2")], "Page string, Id string"))
+    with pytest.raises(Exception, match="no series for page n_p_a_x"):
+        submission.with_series(lost, pages).collect()
+
+
+def test_stationary_series_takes_logarithm_and_differences(spark):
+    df = series(spark, [1, 2, 4, 8, 0])
+    params = spark.createDataFrame([("a", True, "log", 1, 0, 7)], "ts_id string, found_stn boolean, func string, d int, seasonal_d int, S int")
+    got = [r["stn"] for r in stationarity.stationary_series(df, params, "daily_untouched").orderBy("time_d").collect()]
+    assert got[0] is None and got[1:] == pytest.approx([math.log(2)] * 3 + [-math.log(8)])
+
+
+def test_series_of_another_length_are_found(spark):
+    both = series(spark, [1, 2, 3]).union(series(spark, [1, 2], "b"))
+    assert [r["ts_id"] for r in ensembles.lengths_check(both).collect()] == ["b"]

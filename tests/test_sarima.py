@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.sarima import grouped, search
-from tessera.sarima.kernel import Fit, Order
+from tessera.sarima.kernel import Fit, Inverse, Order
 
 
 def test_recovers_an_autoregression():
@@ -62,3 +62,75 @@ def test_registered_fits_search_the_full_bounds(monkeypatch):
     bound = inspect.signature(real).bind(*calls[0][0], **calls[0][1])
     bound.apply_defaults()
     assert bound.arguments["most"] == (5, 5, 2, 2) and bound.arguments["most_rounds"] >= 1000
+
+
+def test_inverse_filter_equals_the_recursion():
+    rng = np.random.default_rng(1)
+    for theta in ([1.0], [1, 0.5], [1, -0.3, 0.2], np.r_[1, np.zeros(6), 0.4], np.r_[1, np.zeros(69), 0.3]):
+        theta, a = np.array(theta, float), rng.normal(size=(333, 3))
+        want = np.zeros_like(a)
+        for t in range(len(a)):
+            want[t] = a[t] - sum(theta[j] * want[t - j] for j in range(1, min(t, len(theta) - 1) + 1))
+        assert np.abs(Inverse(theta)(a) - want).max() < 1e-9 and np.abs(Inverse(theta)(a[:, 1]) - want[:, 1]).max() < 1e-9
+
+
+@pytest.mark.parametrize("order", [Order(2, 0, 2, 1, 0, 1, 7), Order(1, 0, 3, 2, 0, 2, 7), Order(0, 1, 0, 0, 1, 1, 7), Order(3, 0, 0, 0, 0, 0, 1)])
+def test_jacobian_equals_differences(order):
+    rng = np.random.default_rng(4)
+    y = 50 + 10 * (np.arange(300) % 7) + rng.normal(size=300)
+    fit = Fit(y, order)
+    x = 0.9 * fit.params
+    e, h = fit._residuals(x), 1e-6
+    want = np.column_stack([(fit._residuals(x + h * np.eye(len(x))[k]) - e) / h for k in range(len(x))])
+    assert np.abs(fit._jacobian(x, e) - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_starts_without_a_constant_follow_where_none_with_one_fits(monkeypatch):
+    real = search.Fit
+
+    def picky(y, order, **more):
+        if order.const:
+            raise ValueError("no constant here")
+        return real(y, order, **more)
+
+    monkeypatch.setattr(search, "Fit", picky)
+    y = np.random.default_rng(2).normal(size=150)
+    found = search.search(y, 0, 0, 1, 10, 5)
+    assert found.order is not None and not found.order.const and np.isfinite(found.forecast).all()
+
+
+def test_aic_finds_the_order_of_an_autoregression():
+    rng = np.random.default_rng(9)
+    y = np.zeros(800)
+    for t in range(2, 800):
+        y[t] = 0.5 * y[t - 1] + 0.3 * y[t - 2] + rng.normal()
+    found = search.search(y, 0, 0, 1, 0, 5, cost="aic")
+    assert found.order.p + found.order.q >= 2 and len(found.valicast) == 0
+    whole = [search.Fit(y, o).aic for o in (Order(0, 0, 0, 0, 0, 0, 1), Order(1, 0, 0, 0, 0, 0, 1), found.order)]
+    assert whole[2] == pytest.approx(found.cost) and whole[2] < min(whole[:2])
+
+
+def variables(spark, days, start=dt.date(2024, 1, 1)):
+    rng = np.random.default_rng(3)
+    rows = [("a", "x", start + dt.timedelta(days=k), float(10 + k % 7 + rng.normal())) for k in range(days)]
+    rows += [("a", "w", start + dt.timedelta(days=7 * k), float(5 + rng.normal())) for k in range(days // 7)]
+    stacked = spark.createDataFrame(rows, "ts_id string, variable string, time_d date, y double")
+    params = spark.createDataFrame([("a", "x", True, "asis", 0, 0, 7), ("a", "w", True, "asis", 0, 0, 1)], "ts_id string, variable string, found_stn boolean, func string, d int, seasonal_d int, S int")
+    return stacked, params
+
+
+def test_every_variable_has_its_own_horizon_and_step(spark):
+    got = grouped.fit_variables(*variables(spark, 140), {"x": (14, 21, 1), "w": (3, 4, 7)}).collect()
+    n = lambda v, s: sorted(r["time_d"] for r in got if (r["variable"], r["sample"]) == (v, s))
+    assert [len(n("x", s)) for s in ("fitted", "valicast", "forecast")] == [140, 14, 21]
+    assert [len(n("w", s)) for s in ("fitted", "valicast", "forecast")] == [20, 3, 4]
+    assert n("w", "forecast")[1] - n("w", "forecast")[0] == dt.timedelta(days=7) and n("x", "forecast")[0] == n("x", "fitted")[-1] + dt.timedelta(days=1)
+    assert grouped.specification(spark.createDataFrame(got)).count() == 2
+
+
+def test_short_series_are_null_and_gaps_are_an_error(spark):
+    stacked, params = variables(spark, 10)
+    got = grouped.fit_variables(stacked, params, {"x": (14, 5, 1), "w": (3, 4, 7)}).where("variable = 'x'").collect()
+    assert len(got) == 10 + 10 + 5 and all(r["pred"] is None for r in got)
+    with pytest.raises(Exception, match="days apart"):
+        grouped.fit_variables(stacked.where("time_d <> date'2024-01-04'"), params, {"x": (3, 5, 1), "w": (3, 4, 7)}).collect()

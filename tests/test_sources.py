@@ -45,3 +45,49 @@ def test_weekly_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r["event_type"], r["time_w"], r["n"]) for r in df.collect())
     assert key(spark.table("weekly")) == key(weekly_stream(spark.read.parquet(source), "event_type"))
+
+
+def test_append_keeps_the_layout(spark, tmp_path):
+    store = files.TableStore(spark, str(tmp_path))
+    df = spark.range(6).select("id", (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"))
+    store.put("t", df, partition=("a", "b"))
+    store.append("t", df)
+    assert store.partitions("t") == ["a", "b"] and store.count("t") == 12 and store.get("t", where="a = 1 and b = 2").count() == 2
+    assert not list((tmp_path / "t").glob("*.parquet"))
+
+
+def test_rename_replaces_only_a_whole_table(spark, tmp_path):
+    import pytest
+
+    store = files.TableStore(spark, str(tmp_path))
+    store.put("a", spark.range(3))
+    store.put("b", spark.range(5))
+    with pytest.raises(FileNotFoundError):
+        store.rename("c", "b")
+    assert store.count("b") == 5
+    store.rename("a", "b")
+    assert store.count("b") == 3 and not store.exists("a") and not store.exists("b.replaced")
+
+
+def test_weeks_don_t_follow_the_session_zone(spark):
+    events = spark.sql("SELECT 'x' AS event_type, timestamp_ntz'2024-01-01 00:30:00' + make_interval(0, 0, 0, k) AS ts, 1.0D AS value FROM (SELECT explode(sequence(0, 13)) AS k)")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = sorted((str(r["time_w"]), r["n"]) for r in weekly_stream(events, "event_type").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [("2024-01-07", 7), ("2024-01-14", 7)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from tessera import storage
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        storage.shared_base(type("Session", (), {"sparkContext": Context})())

@@ -1,16 +1,16 @@
-"""Shared helpers of the training-data operators: shared folder, bounded Arrow batches, files, words."""
+"""Shared helpers of the training-data operators: bounded Arrow batches, files, words."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..storage import fresh_path, materialize, remove, shared_base, temporary  # noqa: F401  the operators take them from here
+
 #: A word is a run of anything but ASCII blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -39,34 +39,6 @@ def batch_rows(spark: SparkSession, rows: int):
         bounded_batches(spark)
 
 
-def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_base(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that materialize() wrote and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,8 +6,8 @@ finds at a position, checks it against the piece before, and falls back to the n
 from which there is no way on are marked in a bitfield and never tried again. Work is linear in the text.
 
 Defined results: a null text is an empty text; an empty text has no ids and decodes to an empty text. Texts of any length
-are encoded whole. Extra input columns are
-ignored by `digests` and kept by `encode_documents`.
+are encoded whole; rows that share a doc_id are encoded one by one. Extra input columns are ignored by `digests` and kept by
+`encode_documents`, but columns named n_tokens, ids and round_trip are replaced there, and text goes.
 """
 
 from __future__ import annotations

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Memo, bounded_batches, filesystem, fresh_path, worker_cache
+from .common import Memo, bounded_batches, filesystem, fresh_path, temporary, worker_cache
 
 #: Signs that the pre-tokenizer always cuts off letters before them: ASCII signs but the apostrophe.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"TIDZ\x01\n\r\n"
-#: Documents whose ids the dictionary is trained on, its size in bytes, and zstandard's level.
+#: Documents whose ids the dictionary is trained on (a bound that ids and digests don't depend on, only the compression: 8,000
+#: documents in place of 400 make the shards of sf0.1 1 % smaller), its size in bytes, and zstandard's level.
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 400, 65_536, 3
 
 
@@ -277,17 +278,21 @@ class ShardReader:
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Writes the shards of docs (doc_id, text) into a folder that all machines share; returns their manifest.
 
+    Without a folder they lie in the one for intermediate tables and go when the application ends.
+
     Manifest: shard int (place in the order), path string, n_docs long, n_tokens long, start long.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder = folder or fresh_path(spark, "tokens")
+    own, folder = not folder, folder or fresh_path(spark, "tokens")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dictionary, end = train_dictionary(docs, tokenizer, end_id), struct.pack("<I", end_id)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/{hashlib.sha256(dictionary).hexdigest()}.zdict", compression=None) as f:
         f.write(dictionary)
+    if own:
+        temporary(spark, folder)
     sent = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

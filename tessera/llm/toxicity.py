@@ -3,7 +3,7 @@
 A linear model over hashed words and word beginnings is fitted with numpy from confirmed toxic documents and unlabelled
 ones. The risk is corrected by the class prior p: p * R+(positive) + max(0, R-(unlabelled) - p * R-(positive)); where the
 second part turns negative, its gradient is followed backwards. The fit sees bounded samples (POSITIVES and UNLABELLED
-rows with the smallest hash of their id); the prior comes from all learning labels and every document is scored whole.
+rows with the smallest hash of their id; of rows that share an id the smallest text); the prior comes from all learning labels and every document is scored whole.
 
 Defined results: a null text is an empty text; empty texts get the score of the bias alone; rows that share a doc_id are
 scored one by one; without positive labels every score is the prior's; extra columns are ignored.
@@ -91,14 +91,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float]:
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     positive = learn.where("toxic = 1").select("doc_id").distinct().orderBy(*first).limit(POSITIVES).select("doc_id", F.lit(True).alias("is_positive"))
     unlabelled = docs.select("doc_id").distinct().orderBy(*first).limit(UNLABELLED).select("doc_id", F.lit(False).alias("is_positive"))
-    picked = docs.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("is_positive", "text")
+    picked = docs.join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").groupBy("doc_id", "is_positive").agg(F.min("text").alias("text")).select("is_positive", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["is_positive", "slots"])
 
     p, u = [], []
-    for is_positive, raw in picked.mapInArrow(run, "is_positive boolean, slots binary").limit(4 * (POSITIVES + UNLABELLED)).collect():
+    for is_positive, raw in picked.mapInArrow(run, "is_positive boolean, slots binary").collect():
         (p if is_positive else u).append(np.frombuffer(raw, np.int32))
     p.sort(key=bytes)
     u.sort(key=bytes)

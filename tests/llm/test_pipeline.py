@@ -29,6 +29,19 @@ def test_an_empty_table_goes_through(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 0
+
+
+def test_nulls_and_clashing_names_go_through(spark):
+    from frames import odd_documents
+
+    docs = odd_documents(spark).selectExpr("*", "'en' AS lang", "cast(length(text) AS long) AS n_chars", "1 AS n_dropped", "'x' AS score", "k AS predicted", "h AS fp", "0 AS item_id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER).cache()
+        assert out.count() > 0 and {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in docs.collect()}, name
+        docs = out.select(*[c for c in docs.columns if c in out.columns])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert last.where("ids is null or n_tokens is null").count() == 0 and last.count() == docs.count()
 
 
 def brute_lines(rows):

@@ -85,6 +85,19 @@ def worker_cache(key, make: Callable):
     return _OWN[key]
 
 
+def release() -> None:
+    """Gives back what this worker keeps from earlier tasks: another operator's cache, Arrow's and the C library's free memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _OWN.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def filesystem(url: str):
     """(pyarrow filesystem, path) of a URL; local paths need no scheme."""
     from pyarrow import fs

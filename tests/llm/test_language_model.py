@@ -175,3 +175,30 @@ def test_training_covers_every_id_of_long_and_of_all_documents(spark, monkeypatc
     ids = [i for _, t in learning for i in ids_of(t.split())]
     assert len(learning) >= 2 and changed[lay.slot_of[sorted(set(ids))]].all()
     assert sum(n for _, n in trained) == len(ids) and all(0 <= t < lm.ROUNDS for t, _ in trained)
+
+
+def test_every_pair_within_words_counts(spark, monkeypatch):
+    """However many pairs there are, scores are those of all of them, counted one by one and held in memory."""
+    monkeypatch.setattr(lm, "MOST_PAIRS", 50, raising=False)  # a bound that once left the rarer pairs out
+    monkeypatch.setattr(lm, "PAIR_ROWS", 64, raising=False)
+    kept, real = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda found, lay: kept.append((lay, real(found, lay))) or kept[-1][1])
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, BLOCKS).collect()}
+    lay, model = kept[0]
+    rows = {r["doc_id"]: [ids_of([w]) for w in cut(r["text"])] for r in docs.collect()}
+    single, last, pairs = np.zeros(lay.size, np.int64), np.zeros(lay.size, np.int64), Counter()
+    learning = [words for d, words in rows.items() if not lm.is_held(d)]
+    for ids in (ids for words in learning for ids in words):
+        np.add.at(single, ids, 1)
+        last[ids[-1]] += 1
+        pairs.update(int(lay.slot_of[a]) * lay.size + b for a, b in zip(ids[:-1], ids[1:], strict=True))
+    single[-1] += len(learning)
+    counts = lm.Counts(np.append(lm.encoder(BLOCKS).starts[:-1], True), single, last, len(learning))
+    keys = np.array(sorted(pairs))
+    every = lm.Layout(counts.with_pairs(keys, np.array([pairs[k] for k in keys.tolist()])), lay.class_of.astype(np.int64))
+    assert len(keys) > 500 and np.allclose(every.table, lay.table, atol=1e-5)
+    for d, words in rows.items():
+        target = np.array([*(i for ids in words for i in ids), lay.end])
+        want = lm.stream_scores(np.r_[lay.end, target[:-1]], target, np.array([len(target)]), every, model.tables(every)).sum() / math.log(10)
+        assert got[d] == pytest.approx(want, rel=1e-5)

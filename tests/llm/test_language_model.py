@@ -202,3 +202,39 @@ def test_every_pair_within_words_counts(spark, monkeypatch):
         target = np.array([*(i for ids in words for i in ids), lay.end])
         want = lm.stream_scores(np.r_[lay.end, target[:-1]], target, np.array([len(target)]), every, model.tables(every)).sum() / math.log(10)
         assert got[d] == pytest.approx(want, rel=1e-5)
+
+
+def test_gradient_of_places_with_a_weight_only():
+    """Rows without a weight take no part: the gradient is that of the loss over all places, difference by difference."""
+    lay, rng = layout(), np.random.default_rng(4)
+    own = moved(lay)
+    s, target = rng.integers(0, lay.slots, (3, lm.LENGTH)), rng.integers(0, lm.BEGINNING + lm.INSIDE, 3 * lm.LENGTH)
+    weight = (rng.random(s.shape) < 0.6).astype(np.float32)
+    used = np.flatnonzero(weight)
+    chance, g = own.gradient(s, used, lay.table[s.ravel()[used]], target[used], np.ones(len(used), np.float32))
+
+    def loss(flat):
+        """Place by place, in double precision."""
+        m, total = lm.Attention(lay.slots, flat), 0.0
+        for i in used.tolist():
+            row, at = divmod(i, lm.LENGTH)
+            x = m.x[s[row, : at + 1]].astype(float)
+            a = np.exp((x[-1] @ m.wq) @ (x @ m.wk).T / math.sqrt(lm.QUERY) + m.place[at - np.arange(at + 1)])
+            z = (a / a.sum()) @ (x @ m.wv) @ m.wo + x[-1] @ m.wr + lay.table[s[row, at]]
+            total -= z[target[i]] - math.log(np.exp(z).sum())
+        return total / len(used)
+
+    assert -np.log(chance).mean() == pytest.approx(loss(own.flat), rel=1e-4)
+    for i in rng.choice(np.flatnonzero(np.abs(g) > 2e-3), 12, replace=False):
+        moves = [own.flat.copy() for _ in range(2)]
+        for flat, by in zip(moves, (1e-2, -1e-2), strict=True):
+            flat[i] += np.float32(by)
+        assert (loss(moves[0]) - loss(moves[1])) / 2e-2 == pytest.approx(g[i], rel=0.03, abs=1e-4)
+
+
+def test_occurrences_of_ids_in_documents():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 50, n).astype("<u2") for n in (1, 7, 300)]
+    ids, n = lm.occurrences([x.tobytes() for x in rows], 600)
+    assert ids.tolist() == sorted(set(np.concatenate(rows).tolist()))
+    assert [[int((x == i).sum()) for i in ids] for x in rows] == n.tolist()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_model, lines, neighbours, passages, pieces, pii, simhash, token_store, toxicity
+from . import decontaminate, exact, language_model, lines, neighbours, passages, pieces, pii, simhash, token_store, toxicity
 from .common import crc_mod, read_table
 
 #: The end id of op7.
@@ -65,6 +65,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.MultiIndex(rows).search(rows.where("vec_id % 20 = 0"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(read_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language_model": op9_language_model,
     "op10_neighbours": op10_neighbours,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": lines.SQL + """
@@ -84,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
     """,
     "op2_decontaminate": decontaminate.SQL,
+    "op13_exact_dedup": exact.SQL,
 }

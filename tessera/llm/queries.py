@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact, language_model, lines, merkle, neighbours, passages, pieces, pii, simhash, token_store, toxicity
+from . import decontaminate, exact, language_model, lines, merkle, neighbours, passages, phrases, pieces, pii, simhash, token_store, toxicity
 from .common import crc_mod, read_table
 
 #: The end id of op7.
@@ -65,6 +65,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.MultiIndex(rows).search(rows.where("vec_id % 20 = 0"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language_model": op9_language_model,
     "op10_neighbours": op10_neighbours,
+    "op11_phrases": op11_phrases,
     "op12_merkle": op12_merkle,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -98,6 +103,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
     """,
     "op2_decontaminate": decontaminate.SQL,
+    "op11_phrases": phrases.SQL,
     "op12_merkle": merkle.SQL,
     "op13_exact_dedup": exact.SQL,
 }

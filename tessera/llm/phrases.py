@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ranking import numbered
 from .common import bounded_batches, fresh_path, materialize, release, temporary
 
 LEAST, LONGEST, TOP = 10, 3, 2000
@@ -38,8 +39,6 @@ SHARD, SLICE = 8 << 20, 16 << 20
 #: Bytes of text that a task keeps for shards of several languages.
 PENDING = 24 << 20
 CELL_BITS = 48
-#: Places that a language's candidates are ranked in first.
-SALTS = 128
 UNKNOWN = "und"
 
 _CLASS = np.zeros(256, np.uint8)
@@ -157,6 +156,8 @@ def _heavy(least: int, bits: int):
         heavy = every[first][np.add.reduceat(of, first, dtype=np.int64) >= least]
         back = [c[is_in(c, heavy)] for c in own]
         some = [k for k, c in enumerate(back) if len(c)]
+        del every, order, of, first
+        release()
         return pa.table({"shard": pa.array(shards[some], pa.int64()), "payload": pa.array([pack(back[k]) for k in some], pa.binary())})
 
     return run
@@ -193,6 +194,8 @@ def _scan(longest: int):
             return none
         automaton.make_automaton()
         found = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(raw.decode())), np.int32), minlength=len(phrases))
+        del automaton, raw, ids, words, piece
+        release()
         return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "a": pa.array(found, pa.int64())})
 
     return run
@@ -251,11 +254,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: part(i, k))))
     around = many.where(F.size("w") > 2).select("lang", "a", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * WITHIN))
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"))
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    last = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return last.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score", (-F.col("best.score")).alias("low"), (-F.col("a")).alias("rare"))
+    first = numbered(rows, ["low", "rare", "phrase"], ("lang",)).where(F.col("rank") < top)
+    return first.join(n, "lang").select("lang", (F.col("rank") + 1).cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 _ROOM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

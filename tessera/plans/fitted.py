@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import backtransform, components, ensembles, report, stationarity, stats, topline, transform
-from ..sarima import grouped
+from ..operators import backtransform, components, ensembles, holidays, report, stationarity, stats, topline, transform
+from ..sarima import grouped, ledger
+from ..storage import fresh_path, temporary
 from .basics import query, r, rounded
 from .forecasts import ENSEMBLES, MODELS, kept_levels
 from .panels import HORIZON
@@ -38,12 +39,12 @@ def weeks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stacked(spark: SparkSession, sf: str) -> DataFrame:
-    """ts_id, variable, time_d, y of the four variables, each from its first value on."""
+    """ts_id, variable, time_d, y of the four variables; a series without values keeps its days."""
 
     def make() -> DataFrame:
         parts = []
         for df, time, names in ((history(spark, sf), "time_d", ("daily_level", "daily_wowGr")), (weeks(spark, sf), "time_w", ("weekly_level", "weekly_wowGr"))):
-            parts += [df.select("ts_id", F.lit(v).alias("variable"), F.col(time).alias("time_d"), F.col(v).alias("y")).where("y is not null") for v in names]
+            parts += [df.select("ts_id", F.lit(v).alias("variable"), F.col(time).alias("time_d"), F.col(v).alias("y")) for v in names]
         return reduce(DataFrame.unionByName, parts)
 
     return once("stacked", make)
@@ -53,7 +54,7 @@ def parameters(spark: SparkSession, sf: str) -> DataFrame:
     """The stationarity search of every series and variable: ts_id, variable, found_stn, func, d, seasonal_d, S."""
 
     def make() -> DataFrame:
-        keyed = stacked(spark, sf).withColumn("key", F.concat_ws("|", "ts_id", "variable"))
+        keyed = stacked(spark, sf).where("y is not null").withColumn("key", F.concat_ws("|", "ts_id", "variable"))
         out = []
         for season in (7, 1):
             names = [v for v, s in SEASONS.items() if s == season]
@@ -121,19 +122,47 @@ def matrix(spark: SparkSession, sf: str, sample: str) -> DataFrame:
     return once(f"fitted-matrix-{sample}", make)
 
 
+def holiday_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """ts_id, holiday, month, day, adjustment_factor of holidays that were outliers in every year."""
+
+    def make() -> DataFrame:
+        cleaned = kept_levels(spark, sf).select("ts_id", F.lit("all").alias("project"), "time_d", "outlier", "daily_untouched", "daily_cleaned")
+        return holidays.factors(cleaned, holidays.holiday_table(spark))
+
+    return once("holiday-factors", make)
+
+
+def with_holidays(spark: SparkSession, sf: str, sample: str, models: DataFrame) -> DataFrame:
+    """All models with the holidays' factors back on: in the validation on the flagged days, in a forecast on any year's."""
+    columns = [*MODELS, *ENSEMBLES]
+    if sample != "valicast":
+        return holidays.reholiday(models, holiday_factors(spark, sf), models, columns, "month_day")
+    past = kept_levels(spark, sf).select("ts_id", F.lit("all").alias("project"), "time_d", "outlier", "daily_untouched", "daily_cleaned")
+    return holidays.reholiday(models, holiday_factors(spark, sf), holidays.flags(past, holidays.holiday_table(spark)), columns, "date")
+
+
 def with_ensembles(spark: SparkSession, sf: str, sample: str) -> DataFrame:
-    """The matrix with missing predictions plugged, and the three candidate ensembles."""
-    plugged = components.plug_missing(matrix(spark, sf, sample), MODELS)
-    return once(f"fitted-ensembles-{sample}", lambda: ensembles.functionwise(ensembles.pointwise(plugged, MODELS), MODELS))
+    """The matrix, the three candidate ensembles over the models that aren't missing, and then the holidays."""
+
+    def make() -> DataFrame:
+        models = ensembles.functionwise(ensembles.pointwise(matrix(spark, sf, sample), MODELS), MODELS)
+        return with_holidays(spark, sf, sample, models)
+
+    return once(f"fitted-ensembles-{sample}", make)
 
 
 def validation(spark: SparkSession, sf: str) -> DataFrame:
     actual = report.last_days(kept_levels(spark, sf), HORIZON).select("ts_id", "time_d", "daily_level", "daily_untouched")
-    return with_ensembles(spark, sf, "valicast").join(actual, ["ts_id", "time_d"])
+    return with_ensembles(spark, sf, "valicast").join(actual, ["ts_id", "time_d"], "left")
+
+
+def plugged(models: DataFrame) -> DataFrame:
+    """A copy whose missing predictions are the weekday's median, for its own losses; series without any value stay NULL."""
+    return components.plug_missing(models, [*MODELS, *ENSEMBLES])
 
 
 def blended(spark: SparkSession, sf: str, models: DataFrame) -> DataFrame:
-    """models with the blends by weights from the validation."""
+    """models with the blends by weights from the validation; weights and blends know which predictions are missing."""
     by_series = once("fitted-losses", lambda: ensembles.losses(validation(spark, sf), "daily_untouched", MODELS))
     for name, k in BLENDS.items():
         models = ensembles.blend(models, ensembles.wide_weights(ensembles.weights(by_series, k), MODELS), MODELS, name)
@@ -170,6 +199,27 @@ def pipeline_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ensembles.losses(models, "daily_untouched", [*MODELS, *ENSEMBLES, *BLENDS], ()).select("model", r("loss"))
 
 
+@query()
+def plugged_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Error of every model and ensemble on the validation sample once missing predictions are plugged."""
+    return ensembles.losses(plugged(validation(spark, sf)), "daily_untouched", [*MODELS, *ENSEMBLES], ()).select("model", r("loss"))
+
+
+@query()
+def sarima_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Series and variables without a model, and why."""
+    return grouped.failures(fits(spark, sf))
+
+
+@query()
+def sarima_fit_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """sarima_fit_variables by way of a ledger of finished chunks; a restart with the same folder would go on where it stopped."""
+    folder = fresh_path(spark, "fit-ledger")
+    out = ledger.fit_resumed(stacked(spark, sf), parameters(spark, sf), HORIZONS, folder, chunks=4)
+    temporary(spark, folder)
+    return grouped.specification(out)
+
+
 @query()
 def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts of the days after the panel by every model, ensemble and blend, weights from the validation sample."""

@@ -167,17 +167,8 @@ _SM = f"""sm AS (SELECT * FROM (SELECT ts_id, time_d, {', '.join(f'lag(daily_lev
     am AS (SELECT ts_id, time_d, {', '.join(f"{m} * hist_prop_trunc60_last60days AS {m}" for m in TOPLINE_LAGS)} FROM gm JOIN hp USING (grp))"""
 
 
-def _holes(model: str, column: str) -> str:
-    """Missing predictions, so that NULLs are met: one model of some series, another on some days."""
-    if model == "mod_agg_weekly_wowGr":
-        return f"CASE WHEN sm.ts_id LIKE '%7' THEN NULL ELSE {column} END"
-    if model == "mod_ts_weekly_level":
-        return f"CASE WHEN day(sm.time_d) = 15 THEN NULL ELSE {column} END"
-    return column
-
-
 _MM = f"""{_PROP}, {summary_sql('sd', 'ts_id, day_of_week')}, {_SM},
-    mm AS (SELECT sm.ts_id, sm.time_d, {', '.join(f"CASE WHEN {_holes(m, m)} IS NOT NULL AND trimmax_trunc60 IS NOT NULL THEN least({_holes(m, m)}, trimmax_trunc60) END AS {m}" for m in (*SERIES_LAGS, *TOPLINE_LAGS))},
+    mm AS (SELECT sm.ts_id, sm.time_d, {', '.join(f"CASE WHEN {m} IS NOT NULL AND trimmax_trunc60 IS NOT NULL THEN least({m}, trimmax_trunc60) END AS {m}" for m in (*SERIES_LAGS, *TOPLINE_LAGS))},
         {', '.join(f'sd.{s} AS {m}' for m, s in components.SEASONAL_TRUNCATED.items())}
         FROM sm JOIN am ON am.ts_id = sm.ts_id AND am.time_d = sm.time_d JOIN lim ON lim.ts_id = sm.ts_id JOIN sd ON sd.ts_id = sm.ts_id AND sd.day_of_week = isodow(sm.time_d) - 1)"""
 _MATRIX = f"{_LV}, {_TOP}, {_LIM}, {_MM}"
@@ -192,10 +183,8 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     lv = kept_levels(spark, sf)
     lagged = lambda df, by, value, lags: df.select(by, "time_d", *[F.lag(value, k).over(Window.partitionBy(by).orderBy("time_d")).alias(m) for m, k in lags.items()])
     own = report.last_days(lagged(lv, "ts_id", "daily_level", SERIES_LAGS), HORIZON)
-    own = own.withColumn("mod_ts_weekly_level", F.when(F.day("time_d") != 15, F.col("mod_ts_weekly_level")))
     top = report.last_days(lagged(topline.daily(lv), "grp", "daily_level_noShrtAdj", TOPLINE_LAGS), HORIZON)
     top = topline.distribute(top, stats.proportions(stats.summary(lv, ("ts_id", "grp"))), list(TOPLINE_LAGS), "hist_prop_trunc60_last60days").drop("grp")
-    top = top.withColumn("mod_agg_weekly_wowGr", F.when(~F.col("ts_id").endswith("7"), F.col("mod_agg_weekly_wowGr")))
     weekday = stats.summary(lv, ("ts_id", "day_of_week"))
     return components.matrix(own, top, components.trim_limits(lv), weekday, "trimmax_trunc60", components.SEASONAL_TRUNCATED)
 
@@ -474,13 +463,13 @@ def equal_lengths_check(spark: SparkSession, sf: str) -> DataFrame:
 _PAGES = "SELECT row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_linenumber) - 1 AS ts_id, l_returnflag || '_x' AS name, l_linestatus AS project, 'all' AS access, l_linenumber::VARCHAR AS agent FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem)"
 
 
-@query(f"""WITH p AS ({_PAGES}), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time_d FROM lineitem WHERE l_shipdate >= DATE '2001-10-01')
+@query(f"""WITH p AS ({_PAGES}), d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time_d FROM lineitem)
     SELECT p.*, time_d, md5(name || '_' || project || '_' || access || '_' || agent || '_' || strftime(time_d, '%Y-%m-%d')) AS Id FROM p CROSS JOIN d""")
 def submission_page_map(spark: SparkSession, sf: str) -> DataFrame:
     """Dated page keys and their series' ids, by the four parts of the page."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     parts = lines.select(F.concat("l_returnflag", F.lit("_x")).alias("name"), F.col("l_linestatus").alias("project"), F.lit("all").alias("access"), F.col("l_linenumber").alias("agent"))
     pages = panels.series_ids(parts, ["name", "project", "access", "agent"]).withColumn("agent", F.col("agent").cast("string"))
-    days = lines.select(F.col("l_shipdate").cast("date").alias("time_d")).where("time_d >= date'2001-10-01'").distinct()
+    days = lines.select(F.col("l_shipdate").cast("date").alias("time_d")).distinct()
     dated = pages.join(F.broadcast(days)).select(F.concat_ws("_", "name", "project", "access", "agent", F.date_format("time_d", "yyyy-MM-dd")).alias("Page")).withColumn("Id", F.md5("Page"))
     return submission.with_series(submission.parse_dated_key(dated), pages).drop("Page")

@@ -1,4 +1,4 @@
-"""KPSS tests (Kwiatkowski et al. 1992, level-stationary) in array expressions and the search for differencing orders."""
+"""KPSS tests (Kwiatkowski et al. 1992, level-stationary) by prefix sums, and the search for differencing orders."""
 
 from __future__ import annotations
 
@@ -13,21 +13,24 @@ CRITICAL = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
 ATTEMPTS = [(0, 0), (1, 0), (0, 1), (1, 1), (2, 0)]
 
 
-def kpss(series: DataFrame, lags: int | None = None) -> DataFrame:
-    """Adds stat to rows with xs (array in time order), mean and complete: NULL if a value is missing or all are equal.
+def kpss(series: DataFrame, keys: tuple[str, ...], value: str, time: str = "time_d", lags: int | None = None) -> DataFrame:
+    """keys and stat of every series: NULL if a value is missing or all are equal.
 
-    The deviations become a column of their own: a lambda would work them out anew for every element.
+    With prefix sums S of the deviations, the Bartlett-weighted autocovariances up to lag l are the squares of S(t) - S(t - l - 1),
+    divided by l + 1, for t from 1 to n + l (S is 0 before the first row and, as sum of all deviations, behind the last). Each
+    row gives its S to t and takes it from t + l + 1, so the time is linear in the rows, and all of it keeps a partitioning by keys.
     """
-    n = F.size("xs")
-    own = series.withColumns({"e": F.transform("xs", lambda x: x - F.col("mean")), "l": F.least(n - 1, F.ceil(12 * F.pow(n / F.lit(100.0), F.lit(0.25))).cast("int")) if lags is None else F.lit(lags)})
-    e = F.col("e")
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
-    walked = F.aggregate(e, start, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["ss"] + (a["s"] + x) * (a["s"] + x)).alias("ss")), lambda a: a["ss"])
-    product = lambda s: F.aggregate(F.zip_with(F.slice(e, s + 1, F.size(e) - s), F.slice(e, F.lit(1), F.size(e) - s), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    near = F.aggregate(F.sequence(F.lit(1), F.col("l")), F.lit(0.0), lambda a, s: a + (1 - s / (F.col("l") + 1)) * product(s))
-    spread = (product(F.lit(0)) + 2 * near) / F.size(e)
-    stat = F.when(F.col("complete") & (F.size(e) > 1), F.try_divide(walked / (F.size(e) * F.size(e)), spread))
-    return own.withColumn("stat", stat).drop("e", "l")
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    own = series.select(*keys, time, F.col(value).cast("double").alias("x"))
+    own = own.withColumns({"n": F.count("*").over(whole), "there": F.count("x").over(whole), "mean": F.avg("x").over(whole), "t": F.row_number().over(whole.orderBy(time))})
+    own = own.withColumns({"s": F.sum(F.col("x") - F.col("mean")).over(along), "l": F.least(F.col("n") - 1, F.ceil(12 * F.pow(F.col("n") / 100.0, F.lit(0.25)))).cast("int") if lags is None else F.lit(lags)})
+    ends = F.array(F.struct(F.col("t").alias("at"), F.col("s").alias("net"), (F.col("s") * F.col("s")).alias("ss")), F.struct((F.col("t") + F.col("l") + 1).alias("at"), (-F.col("s")).alias("net"), F.lit(0.0).alias("ss")))
+    steps = own.select(*keys, "n", "l", (F.col("n") == F.col("there")).alias("complete"), F.inline(ends))
+    nets = steps.groupBy(*keys, "at").agg(F.sum("net").alias("net"), F.sum("ss").alias("ss"), F.max("n").alias("n"), F.max("l").alias("l"), F.bool_and("complete").alias("complete"))
+    sums = nets.groupBy(*keys).agg(F.sum(F.col("net") * F.col("net")).alias("spread"), F.sum("ss").alias("walked"), F.max("n").alias("n"), F.max("l").alias("l"), F.bool_and("complete").alias("complete"))
+    stat = F.try_divide(F.col("walked") / (F.col("n") * F.col("n")), F.col("spread") / (F.col("l") + 1) / F.col("n"))
+    return sums.select(*keys, F.when(F.col("complete") & (F.col("n") > 1), stat).alias("stat"))
 
 
 def attempts(df: DataFrame, value: str, season: int) -> DataFrame:
@@ -41,13 +44,8 @@ def attempts(df: DataFrame, value: str, season: int) -> DataFrame:
     made.append(((x - at(1)) - (at(1) - at(2)), 2))
     names = [0, 1, 2, 3, 4] if season > 1 else [0, 1, 4]
     parts = F.array(*[F.struct(F.lit(k).alias("attempt"), d.alias("x"), (row > cut).alias("live")) for k, (d, cut) in zip(names, made, strict=True)])
-    each = df.select("ts_id", "time_d", parts.alias("parts")).select("ts_id", "time_d", F.explode("parts").alias("p")).where("p.live")
-    arrays = each.groupBy("ts_id", "p.attempt").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("time_d", "p.x"))), lambda r: r["x"]).alias("xs"),
-        F.avg("p.x").alias("mean"),
-        (F.count("p.x") == F.count("*")).alias("complete"),
-    )
-    return kpss(arrays).select("ts_id", "attempt", "stat")
+    each = df.select("ts_id", "time_d", parts.alias("parts")).select("ts_id", "time_d", F.inline("parts")).where("live")
+    return kpss(each, ("ts_id", "attempt"), "x")
 
 
 def search(df: DataFrame, value: str, season: int = 7, threshold: float = 0.05) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
+from .ranking import quantiles
+
 #: Range name by suffix pattern -> (first, last) in days before the last valid date, both inclusive; None: open.
 RANGES: dict[str, tuple[int | None, int | None]] = {
     "{}": (None, None),
@@ -69,8 +72,17 @@ def intraweek(by_weekday: DataFrame, value: str = "trunc60_sum60") -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], group: tuple[str, ...] = ()) -> DataFrame:
-    """count, mean, std (sample), min, quartiles (interpolated), max; one row per column and group."""
+    """count, mean, std (sample), min, quartiles (interpolated), max; one row per column and group.
+
+    The quartiles are exact and no task sees all values of a group: see ranking.quantiles().
+    """
     long = df.select(*group, F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("column", "v"))
-    quartiles = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = long.groupBy(*group, "column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), quartiles.alias("q"), F.max("v").alias("max"))
-    return found.select(*group, "column", "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), "max")
+    long, _ = materialize(long, "described")
+    keys = (*group, "column")
+    found = long.groupBy(*keys).agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(long, "v", [0.25, 0.5, 0.75], keys).select(*[F.col(k).alias(f"__{k}") for k in keys], "q")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    at = lambda i: F.get("q", F.lit(i))
+    return found.join(q, same, "left").select(*keys, "count", "mean", "std", "min", at(0).alias("p25"), at(1).alias("p50"), at(2).alias("p75"), "max")

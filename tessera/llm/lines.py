@@ -9,7 +9,8 @@ everywhere but at its first place (smallest doc_id, then line). Lines of one tok
 and blanks, are never dropped.
 
 Defined results: a null text stays null, with no lines; an empty text stays empty; a document all of whose lines go keeps an
-empty text and its row; rows that share a doc_id count as one document and lose the same lines; rows without doc_id lose none.
+empty text and its row; rows that share a doc_id count as one document, but lose only lines that recur in their own text; rows
+without doc_id lose none.
 Columns other than doc_id and text pass through, but columns named n_lines and n_dropped are replaced.
 """
 
@@ -29,19 +30,25 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows that share a doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("own"))
+    each = own.select("doc_id", "own", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     some = (size >= LEAST_TOKENS) & F.col("line").rlike(r"(^|\s)[^\s0-9]+(\s|$)")  # a token without digits
-    kept = each.where(some).select("doc_id", "at", size.alias("n"), masked(F.col("line")).alias("m"))
+    kept = each.where(some).select("doc_id", "own", "at", size.alias("n"), masked(F.col("line")).alias("m"))
     lead = F.call_function("substring_index", "m", F.lit(" "), F.when(F.col("n") >= LEAST_GENERAL, LEAD).otherwise(F.col("n")))
-    return kept.select("doc_id", "at", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("m").alias("pattern"), "m")
+    return kept.select("doc_id", "own", "at", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("m").alias("pattern"), "m")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and drop (array of line numbers from 0) of every document that loses lines."""
+    """doc_id, own (the text's key) and drop (array of line numbers from 0) of every text that loses lines."""
     keys, _ = materialize(_lines(docs).drop("m"), "lines")
-    first = F.min(F.struct("doc_id", "at")).alias("first")
+    first = F.min(F.struct("doc_id", "at", "own")).alias("first")
     patterns, _ = materialize(keys.groupBy("leaf", "pattern").agg(first, F.max("doc_id").alias("last")), "patterns")
     leaves = patterns.groupBy("leaf").agg(F.count("*").alias("kinds"), F.min("first.doc_id").alias("least"), F.max("last").alias("most")).where("kinds > 1 and least < most").select("leaf")
     leaves, _ = materialize(leaves, "leaves")
@@ -58,18 +65,20 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     named = lambda df: df.join(alike, ["leaf", "pattern"], "left").withColumn("template", F.coalesce("general", "pattern"))
     recurring = named(patterns).groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id < last").select("leaf", "template", "first")
     recurring, _ = materialize(recurring, "recurring")  # so that the next join can split a hot template
-    gone = named(keys).join(recurring, ["leaf", "template"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    return gone.groupBy("doc_id").agg(F.collect_set("at").alias("drop"))
+    gone = named(keys).join(recurring, ["leaf", "template"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")) | (F.col("own") != F.col("first.own")))
+    return gone.groupBy("doc_id", "own").agg(F.collect_set("at").alias("drop"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines and n_dropped as further columns."""
     docs = docs.drop("n_lines", "n_dropped")
     drop, _ = materialize(dropped_lines(docs), "drops")
-    drop = drop.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    both = docs.join(drop.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
-    parts = F.split("text", "\n")
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    drop = drop.select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), F.col("drop").alias("__drop"))
+    both = docs.join(drop.hint("merge"), (F.col("doc_id").cast("long") == F.col("__id")) & (text_key(F.col("text")) == F.col("__own")), "left")
+    both = both.withColumn("__parts", F.split("text", "\n"))  # a column: a lambda would split anew for every line
+    parts = F.col("__parts")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__drop")  # in time linear in the lines
+    rest = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(rest)
     counts = [F.coalesce(F.size(parts).cast("long"), F.lit(0).cast("long")).alias("n_lines"), F.coalesce(F.size("__drop").cast("long"), F.lit(0).cast("long")).alias("n_dropped")]
     counts[0] = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines")

@@ -366,6 +366,22 @@ def test_lines(spark):
     assert lines.line_dedup(no_documents(spark)).count() == 0
 
 
+def test_two_texts_under_one_id_lose_only_their_own_lines(spark):
+    shared = "the same opening line of many words in several documents"
+    rows = [(1, shared + "\nwords of the first"), (5, "a wholly unique opening line that stands nowhere else\nmore of it here"), (5, shared + "\nsomething else again"), (5, shared + "\nsomething else again"), (7, shared)]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in got)
+    assert found == [(1, rows[0][1], 0), (5, rows[1][1], 0), (5, "something else again", 1), (5, "something else again", 1), (7, "", 1)]
+
+
+def test_many_lines_take_linear_time(spark):
+    text = "\n".join(f"four {chr(97 + k % 26)}{chr(97 + k // 26 % 26)} {chr(97 + k // 676)} words" for k in range(15_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nown end of it")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.line_dedup(docs).collect()}
+    assert got[1]["n_dropped"] == 0 and got[2]["text"] == "own end of it" and got[2]["n_dropped"] == 15_000
+
+
+
 def test_templates_generalise_variable_fields(spark):
     rows = [(k, f"user {k} logged in from host{k} at noon today\nown words of document {'abcdefghij'[k]} go here {'xyzuvwrstq'[k]}") for k in range(10)]
     got = {r["doc_id"]: r["text"] for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

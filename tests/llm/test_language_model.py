@@ -34,7 +34,7 @@ def layout(v=600, seed=3, slots=40, monkeypatch=None):
     single, last = rng.integers(0, 500, v), rng.integers(0, 100, v)
     counts = lm.Counts(begins, single, np.minimum(single, last), 20)
     inside = np.flatnonzero(~begins)
-    keys = np.unique(rng.integers(0, counts.slots - 1, 900) * v + rng.choice(inside, 900))
+    keys = np.unique(rng.integers(0, v - 1, 900) * v + rng.choice(inside, 900))
     counts.with_pairs(keys, rng.integers(1, 30, len(keys)))
     return lm.Layout(counts, lm.classes_of(counts, rng.normal(size=(v, lm.SKETCH))))
 
@@ -177,8 +177,11 @@ def test_training_covers_every_id_of_long_and_of_all_documents(spark, monkeypatc
     assert sum(n for _, n in trained) == len(ids) and all(0 <= t < lm.ROUNDS for t, _ in trained)
 
 
-def test_every_pair_within_words_counts(spark, monkeypatch):
-    """However many pairs there are, scores are those of all of them, counted one by one and held in memory."""
+@pytest.mark.parametrize("own", [None, 6])
+def test_every_pair_within_words_counts(spark, monkeypatch, own):
+    """However many pairs and first ids there are, scores are those of all of them, counted one by one and held in memory."""
+    if own:
+        monkeypatch.setattr(lm, "OWN", own)  # most first ids share the attention's vector
     monkeypatch.setattr(lm, "MOST_PAIRS", 50, raising=False)  # a bound that once left the rarer pairs out
     monkeypatch.setattr(lm, "PAIR_ROWS", 64, raising=False)
     kept, real = [], lm.train
@@ -192,12 +195,13 @@ def test_every_pair_within_words_counts(spark, monkeypatch):
     for ids in (ids for words in learning for ids in words):
         np.add.at(single, ids, 1)
         last[ids[-1]] += 1
-        pairs.update(int(lay.slot_of[a]) * lay.size + b for a, b in zip(ids[:-1], ids[1:], strict=True))
+        pairs.update(a * lay.size + b for a, b in zip(ids[:-1], ids[1:], strict=True))
     single[-1] += len(learning)
     counts = lm.Counts(np.append(lm.encoder(BLOCKS).starts[:-1], True), single, last, len(learning))
     keys = np.array(sorted(pairs))
     every = lm.Layout(counts.with_pairs(keys, np.array([pairs[k] for k in keys.tolist()])), lay.class_of.astype(np.int64))
-    assert len(keys) > 500 and np.allclose(every.table, lay.table, atol=1e-5)
+    assert len(keys) > 500 and np.allclose(every.table, lay.table, atol=1e-5) and len(set(keys // lay.size)) > 100
+    assert np.allclose(every.part, lay.part) and lay.slots == (own or lm.OWN) + 1
     for d, words in rows.items():
         target = np.array([*(i for ids in words for i in ids), lay.end])
         want = lm.stream_scores(np.r_[lay.end, target[:-1]], target, np.array([len(target)]), every, model.tables(every)).sum() / math.log(10)
@@ -238,3 +242,23 @@ def test_occurrences_of_ids_in_documents():
     ids, n = lm.occurrences([x.tobytes() for x in rows], 600)
     assert ids.tolist() == sorted(set(np.concatenate(rows).tolist()))
     assert [[int((x == i).sum()) for i in ids] for x in rows] == n.tolist()
+
+
+def test_wide_vocabularies_are_an_error():
+    lm.narrow(np.zeros(1 << 16))
+    with pytest.raises(ValueError, match="16 bits"):
+        lm.narrow(np.zeros((1 << 16) + 1))
+
+
+def test_first_ids_that_share_a_vector_keep_their_own_pairs():
+    """Two rare first ids of one slot: the chance within a class is that of each one's own pairs."""
+    v = 100
+    begins = np.arange(v) < 50
+    begins[-1] = True
+    single = np.arange(v)[::-1] + 2
+    counts = lm.Counts(begins, single, np.ones(v, np.int64), 3)
+    counts.slot_of[:] = np.where(np.arange(v) < 40, np.arange(v), lm.OWN - 1)
+    counts.with_pairs(np.array([60 * v + 70, 61 * v + 80]), np.array([9, 9]))
+    chance = lm.Chances(counts)
+    at = lambda a, b: math.exp(chance.logs(np.array([a]), np.array([b]))[0])
+    assert at(60, 70) > 10 * at(61, 70) and at(61, 80) > 10 * at(60, 80)

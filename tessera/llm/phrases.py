@@ -6,7 +6,7 @@ Texts, A-Z lower-cased, are split into pieces at delimiters and pieces into word
    cells of a hash. The sketch has 2 ** CELL_BITS cells, of which those in use are kept, as sorted numbers, in slices by their
    leading bits; counts stop at `least`. Executors add up a slice over all shards: a cell's sum is an upper bound of the
    frequency of every phrase in it, as collisions only add. Each shard gets back its own cells that reach `least`.
-2. Count. The phrases of a shard in such cells, and no others, are compiled into an Aho-Corasick automaton (pyahocorasick) with a
+2. Count. Words are counted as they are numbered. The longer phrases of a shard in such cells, and no others, are compiled into an Aho-Corasick automaton (pyahocorasick) with a
    blank before and behind them as guards; pieces are parted by a line feed, so a match is one of whole words within a piece.
    The automaton scans its shard, overlapping matches included, and the shards' counts are added up.
 3. Thresholds, on the sums: exact from here on. The parts of a frequent phrase are as frequent, so they were counted as well.
@@ -70,11 +70,11 @@ def joined(ids: np.ndarray, words: list[str], piece: np.ndarray) -> str:
     return " " + " ".join(map([*words, "\n"].__getitem__, np.insert(ids, cuts, len(words)).tolist())) + " "
 
 
-def cells(ids: np.ndarray, words: pa.Array, piece: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cells(ids: np.ndarray, words: list[str], piece: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each number of words the places where such phrases begin, and their cells."""
     import xxhash
 
-    of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+    of_word = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     h = np.full(len(ids), xxhash.xxh64_intdigest(lang), np.uint64)
     at = np.arange(len(ids))
     for k in range(longest):
@@ -104,6 +104,7 @@ def _shards(longest: int, least: int, bits: int, full: int):
 
     def rows(shard: int, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, words, piece = words_of(b"\n".join(texts))
+        words = words.cast(pa.string()).to_pylist()
         texts.clear()
         if not len(ids):
             return
@@ -111,7 +112,7 @@ def _shards(longest: int, least: int, bits: int, full: int):
         counts = np.minimum(counts, least)
         of_slice = found >> np.uint64(CELL_BITS - bits)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(of_slice)) + 1, [len(found)]))
-        payload = [zstandard.ZstdCompressor(level=1).compress(joined(ids, words.cast(pa.string()).to_pylist(), piece).encode())]
+        payload = [zstandard.ZstdCompressor(level=1).compress(joined(ids, words, piece).encode())]
         payload += [pack(found[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         slices = [-1, *of_slice[cuts[:-1]].tolist()]
         m = len(slices)
@@ -186,34 +187,46 @@ def _scan(longest: int):
         lang, raw = texts["lang"][0].as_py(), zstandard.ZstdDecompressor().decompress(texts["payload"][0].as_py())
         heavy = np.sort(np.concatenate([unpack(p.as_py())[0] for p in replies["payload"]]))
         ids, words, piece = words_of(raw)
-        phrases = candidates(ids, words, piece, heavy, lang, longest)
+        texts_of = words.cast(pa.string()).to_pylist()
+        single, phrases = candidates(ids, texts_of, piece, heavy, lang, longest)
+        found = np.bincount(ids, minlength=len(texts_of))[single]
         automaton = ahocorasick.Automaton()
         for k, phrase in enumerate(phrases):
             automaton.add_word(f" {phrase} ", k)
-        if not phrases:
-            return none
-        automaton.make_automaton()
-        found = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(raw.decode())), np.int32), minlength=len(phrases))
-        del automaton, raw, ids, words, piece
+        if phrases:
+            automaton.make_automaton()
+            matches = np.fromiter(map(itemgetter(1), automaton.iter(raw.decode())), np.int32)
+            found = np.concatenate([found, np.bincount(matches, minlength=len(phrases))])
+        phrases = [*map(texts_of.__getitem__, single.tolist()), *phrases]
+        del automaton, raw, ids, words, texts_of, piece
         release()
         return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "a": pa.array(found, pa.int64())})
 
     return run
 
 
-def candidates(ids: np.ndarray, words: pa.Array, piece: np.ndarray, heavy: np.ndarray, lang: str, longest: int) -> list[str]:
-    """The different phrases in heavy cells; told apart by their words, not by hashes."""
-    texts = words.cast(pa.string()).to_pylist()
-    out: list[str] = []
+def candidates(ids: np.ndarray, words: list[str], piece: np.ndarray, heavy: np.ndarray, lang: str, longest: int) -> tuple[np.ndarray, list[str]]:
+    """Numbers of the words in heavy cells, and the different longer phrases in such cells; told apart by their words, not by hashes."""
+    single, phrases = np.zeros(0, np.int64), []
     for k, (at, own) in enumerate(cells(ids, words, piece, lang, longest)):
         at = at[is_in(own, heavy)]
+        if not k:
+            single = np.unique(ids[at])
+            continue
+        wide = max(1, len(words)) ** (k + 1) >= 1 << 63  # then the phrases are numbered word by word
         key = ids[at].astype(np.int64)
         for step in range(1, k + 1):
-            key = np.unique(key, return_inverse=True)[1] * len(texts) + ids[at + step]
-        first = at[np.unique(key, return_index=True)[1]]
-        columns = [map(texts.__getitem__, ids[first + step].tolist()) for step in range(k + 1)]
-        out += map(" ".join, zip(*columns, strict=True))
-    return out
+            key = (np.unique(key, return_inverse=True)[1] if wide else key) * len(words) + ids[at + step]
+        if wide:
+            first = at[np.unique(key, return_index=True)[1]]
+            columns = [ids[first + step] for step in range(k + 1)]
+        else:
+            key, columns = np.unique(key), []
+            for _ in range(k + 1):
+                key, last = np.divmod(key, len(words))
+                columns.insert(0, last)
+        phrases += map(" ".join, zip(*(map(words.__getitem__, c.tolist()) for c in columns), strict=True))
+    return single, phrases
 
 
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: int = SHARD, each_slice: int = SLICE) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,12 @@
 """Benchmark decontamination by MinHash containment search, in DataFrame operations only.
 
-Items are partitioned by their number of distinct shingles q (classes by powers of two). Of each item k shingle hashes are
-its MinHash sketch, k = floor((1 - CONTAINED) * u) + 1 with u the largest q of its class: those that the fewest items have,
-the smallest of equals, so that a phrase that many items share pairs them with documents only where nothing else is left. A
-document that contains CONTAINED of an item misses at most k - 1 of its shingles, so it holds one of the sketch at least:
-looking up the sketches in the documents' shingle hashes misses nothing, however long the document is. The pairs of document
-and item that they find, and no others, are verified by the exact share of the item's shingles, as strings, that the document
-contains.
+Items are partitioned by their number of distinct shingles q, in classes by powers of two. An item's MinHash signature is its k
+smallest shingle hashes (a bottom-k sketch), k = 2 * floor((1 - CONTAINED) * u) + SPARE with u the largest q of its class, so k is
+the same rate of the size for all of a class. A document, however long, is sketched at that rate: of its shingle hashes those up
+to the largest of any signature. The containment asked for becomes a threshold on the signature: a document that contains
+CONTAINED of an item misses floor((1 - CONTAINED) * q) of its shingles at most, so it has all but as many of the signature's
+hashes, one at least. A pair with fewer is no candidate; none with the containment is missed, whatever the hashes are. Candidates,
+and no others, are verified by the exact share of the item's shingles, as strings, that the document contains.
 
 Words are runs of anything but ASCII white space, lower-cased; shingles have five words. Defined results: an item of fewer words
 is one shingle of all its words, looked up among the documents' runs of as many words; items and documents without words are
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize
 
 SHINGLE, CONTAINED = 5, 0.8
+#: Hashes of a signature beyond twice those that a document may miss.
+SPARE = 3
 #: Bytes up to which sketches, items' shingles or ids of candidate documents are broadcast; more are joined by a shuffle.
 FEW_BYTES = 32 << 20
 
@@ -67,12 +69,13 @@ def _hash_of(shingle: Column) -> Column:
 
 
 def sketches(shingled: DataFrame) -> DataFrame:
-    """item_id, h: k hashes of each item, k by its size class."""
-    spread = shingled.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
-    sets = shingled.select("item_id", "h").distinct().join(spread, "h").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("items", "h"))).alias("hs"))
+    """item_id, h, need: each item's signature, k by its size class, and how many of its hashes a document must have."""
+    sets = shingled.groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"), F.count("*").alias("n"))
+    missing = lambda n: F.floor(n * F.lit(1 - CONTAINED) + 1e-9)
     top = F.pow(F.lit(2.0), F.floor(F.log2(F.size("hs"))) + 1) - 1
-    k = (F.floor(top * (1 - CONTAINED) + 1e-9) + 1).cast("int")
-    return sets.select("item_id", F.explode(F.slice("hs", F.lit(1), k)["h"]).alias("h"))
+    k = F.least(F.size("hs"), 2 * missing(top) + SPARE).cast("int")
+    need = F.greatest(F.lit(1), k - missing(F.col("n")))
+    return sets.select("item_id", need.cast("int").alias("need"), F.explode(F.slice("hs", F.lit(1), k)).alias("h"))
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -80,9 +83,11 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     of_items, _ = materialize(item_shingles(items), "items")
     sizes = sorted(r[0] for r in of_items.select(F.least(F.size(F.split("shingle", " ")), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    looked_up = own.select("doc_id", F.explode(hashes(F.col("w"), sizes)).alias("h"))
     sketched, _ = materialize(sketches(of_items), "sketches")
-    candidates, _ = materialize(looked_up.join(_small(sketched), "h").select("doc_id", "item_id").distinct(), "candidates")
+    largest = sketched.agg(F.max("h")).first()[0]
+    of_docs = own.select("doc_id", F.explode(hashes(F.col("w"), sizes)).alias("h")).where(F.col("h") <= F.lit(largest).cast("long"))
+    met = of_docs.join(_small(sketched), "h").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("met"), F.max("need").alias("need"))
+    candidates, _ = materialize(met.where("met >= need").select("doc_id", "item_id"), "candidates")
     holders, _ = materialize(candidates.select("doc_id").distinct(), "holders")
     wanted, _ = materialize(of_items.join(_small(candidates.select("item_id").distinct()), "item_id", "left_semi").select("item_id", "shingle"), "wanted")
     asked, _ = materialize(wanted.select("shingle").distinct(), "asked")

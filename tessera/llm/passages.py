@@ -91,6 +91,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop, first_doc_id (smallest that holds a stretch of it) and is_repeat of every repeated passage."""
     found, _ = materialize(chunks(docs), "chunks")
     spread = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("digest")
+    spread, _ = materialize(spread, "shared-digests")  # so that the next join can split a hot digest
     hits = found.join(spread, "digest").select("doc_id", "start", "stop", "stretch", "end")
     along = Window.partitionBy("doc_id").orderBy("start", "stop")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)

@@ -81,3 +81,79 @@ def test_odd_and_empty_tables(spark):
     assert passages.passage_dedup(odd_documents(spark)).count() == 11
     assert passages.passage_dedup(no_documents(spark)).count() == 0
     assert passages.cut_out("aéb", [(1, 2)]) == "aéb" and passages.cut_out("aéb", [(0, 3), (3, 4)]) == "" and passages.cut_out("aéb", [(2, 4)]) == "aé"
+
+
+def brute(rows):
+    """The passages of (doc_id, text) rows, chunk by chunk and place by place."""
+    texts = [(d, t.encode()) for d, t in rows if d is not None and t]
+    holders, places, stretch_holders = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, raw in texts:
+        bounds = passages.cuts(raw).tolist()
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            if z - a >= passages.LEAST_CHUNK:
+                end = next((b for b in bounds if b >= a + passages.LEAST_BYTES), 0)
+                holders[raw[a:z]].add(d)
+                places[d].add((a, z, end, raw[a:z], raw[a:end] if end else None))
+    out = []
+    runs = {}
+    for d, own in places.items():
+        run = []
+        for x in sorted((x for x in own if len(holders[x[3]]) > 1), key=lambda x: x[:2]):
+            if run and x[0] - run[-1][1] > passages.BRIDGE:
+                runs.setdefault(d, []).append(run)
+                run = []
+            run.append(x)
+        if run:
+            runs.setdefault(d, []).append(run)
+    runs = {d: [r for r in rs if max(x[1] for x in r) - r[0][0] >= passages.LEAST_BYTES] for d, rs in runs.items()}
+    for d, rs in runs.items():
+        for x in (x for r in rs for x in r if x[4] is not None):
+            stretch_holders[x[4]].add(d)
+    for d, rs in runs.items():
+        for r in rs:
+            marks, firsts, first = [], [], None
+            for i, x in enumerate(r):
+                keeper = lambda y: min(stretch_holders[y[4]]) if y[4] is not None and len(stretch_holders[y[4]]) > 1 else None
+                if keeper(x) is not None and keeper(x) < d:
+                    first = keeper(x)
+                firsts.append(first)
+                reach = lambda want: any(y[2] >= x[1] for y in r[: i + 1] if keeper(y) is not None and want(keeper(y)))
+                marks.append(reach(lambda k: k < d) and not reach(lambda k: k == d))
+            pieces = []
+            for i, m in enumerate(marks):
+                if i and m == marks[i - 1]:
+                    pieces[-1].append(i)
+                else:
+                    pieces.append([i])
+            size = lambda piece: max(r[i][1] for i in piece) - r[piece[0]][0]
+            kept = [marks[p[0]] and size(p) >= passages.LEAST_BYTES for p in pieces]
+            parts = []
+            for p, m in zip(pieces, kept, strict=True):
+                if parts and parts[-1][1] == m:
+                    parts[-1][0].extend(p)
+                else:
+                    parts.append((list(p), m))
+            for p, m in parts:
+                if size(p) >= passages.LEAST_BYTES:
+                    known = [firsts[i] for i in p if firsts[i] is not None]
+                    out.append((d, r[p[0]][0], max(r[i][1] for i in p), min(known) if m else d, m))
+    return sorted(out)
+
+
+def test_repeated_equals_brute_force(spark):
+    """Overlapping passages of several origins, edits, repeats within one document; and the whole small table."""
+    rng = random.Random(9)
+    shared = [words(rng, rng.randint(15, 70)) for _ in range(12)]
+    rows = []
+    for d in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.6 else words(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 5))]
+        text = " ".join(parts)
+        if d % 7 == 0:
+            text = text[: len(text) // 2] + "!" + text[len(text) // 2 :]
+        rows.append((d * 3 % 61, text))
+    table = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for case in (rows, table):
+        df = spark.createDataFrame(case, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["start"], r["stop"], r["first_doc_id"], r["is_repeat"]) for r in passages.repeated(df).collect())
+        want = brute(case)
+        assert len(want) > 40 and got == want

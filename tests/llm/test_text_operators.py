@@ -3,6 +3,7 @@ import random
 import re
 import sys
 import zlib
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -418,12 +419,35 @@ def test_containment_without_broadcasts(spark, monkeypatch):
     assert not extra and not missing
 
 
-def test_a_phrase_that_all_items_share_is_in_a_sketch_only_where_nothing_else_is_left(spark):
+def test_a_phrase_that_all_items_share_makes_no_candidates(spark):
+    """Signatures are minimum hashes; one phrase alone never reaches the number of them that a document must have."""
     common = "which of these is the right answer"
     items = spark.createDataFrame([(k, f"{common} " + " ".join(f"w{k}x{i}" for i in range(12))) for k in range(50)], "item_id long, text string")
     shingled = decontaminate.item_shingles(items)
     shared = {r["h"] for r in shingled.groupBy("h").count().where("count > 1").collect()}
-    assert shared and not shared & {r["h"] for r in decontaminate.sketches(shingled).collect()}
+    signature = defaultdict(set)
+    for r in decontaminate.sketches(shingled).collect():
+        signature[r["item_id"], r["need"]].add(r["h"])
+    every = defaultdict(list)
+    for r in shingled.collect():
+        every[r["item_id"]].append(r["h"])
+    assert shared and all(len(hs & shared) < need for (_, need), hs in signature.items())
+    assert all(hs == set(sorted(every[item])[: len(hs)]) for (item, _), hs in signature.items())
+
+
+def test_no_document_with_the_containment_has_too_few_of_a_signature(spark):
+    """Items of all sizes, each missing as many shingles as the containment allows, those of its signature first."""
+    items = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in range(1, 70)], "item_id long, text string")
+    shingled = decontaminate.item_shingles(items)
+    signature, sizes = defaultdict(set), {r["item_id"]: r["count"] for r in shingled.groupBy("item_id").count().collect()}
+    for r in decontaminate.sketches(shingled).collect():
+        signature[r["item_id"], r["need"]].add(r["h"])
+    assert len(signature) == 69
+    for (item, need), hs in signature.items():
+        n = sizes[item]
+        may_miss = max(m for m in range(n + 1) if n - m >= n * decontaminate.CONTAINED)
+        assert 1 <= need <= len(hs) - may_miss
+
 
 
 def test_lines_against_brute_force_over_odd_rows(spark):

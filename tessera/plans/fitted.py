@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import backtransform, components, ensembles, holidays, report, stationarity, stats, topline, transform
+from ..operators import backtransform, checks, components, ensembles, holidays, report, stationarity, stats, topline, transform
 from ..sarima import grouped, ledger
 from ..storage import fresh_path, temporary
 from .basics import query, r, rounded
@@ -119,7 +119,7 @@ def matrix(spark: SparkSession, sf: str, sample: str) -> DataFrame:
         limit, seasonal = ("trimmax_trunc60", components.SEASONAL_TRUNCATED) if sample == "valicast" else ("trimmax", components.SEASONAL)
         return components.matrix(own, dealt(spark, sf, sample), components.trim_limits(lv), weekday, limit, seasonal)
 
-    return once(f"fitted-matrix-{sample}", make)
+    return once(f"fitted-matrix-{sample}", make, by="ts_id")
 
 
 def holiday_factors(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,22 +148,32 @@ def with_ensembles(spark: SparkSession, sf: str, sample: str) -> DataFrame:
         models = ensembles.functionwise(ensembles.pointwise(matrix(spark, sf, sample), MODELS), MODELS)
         return with_holidays(spark, sf, sample, models)
 
-    return once(f"fitted-ensembles-{sample}", make)
+    return once(f"fitted-ensembles-{sample}", make, by="ts_id")
 
 
 def validation(spark: SparkSession, sf: str) -> DataFrame:
-    actual = report.last_days(kept_levels(spark, sf), HORIZON).select("ts_id", "time_d", "daily_level", "daily_untouched")
-    return with_ensembles(spark, sf, "valicast").join(actual, ["ts_id", "time_d"], "left")
+    """The models with the actual values of their days; that each row of the models finds its day is checked in the same pass."""
+
+    def make() -> DataFrame:
+        actual = once("actuals", lambda: report.last_days(kept_levels(spark, sf), HORIZON).select("ts_id", "time_d", "daily_level", "daily_untouched", F.lit(True).alias("actual")), by="ts_id")
+        return with_ensembles(spark, sf, "valicast").join(actual, ["ts_id", "time_d"], "left")
+
+    return once("validation", make, checks.complete("actual"), by="ts_id").drop("actual")
 
 
-def plugged(models: DataFrame) -> DataFrame:
-    """A copy whose missing predictions are the weekday's median, for its own losses; series without any value stay NULL."""
-    return components.plug_missing(models, [*MODELS, *ENSEMBLES])
+def plugged(spark: SparkSession, models: DataFrame) -> DataFrame:
+    """A copy whose missing predictions are the weekday's median, for its own losses; series without any value stay NULL.
+
+    Where there is a median, nothing may be missing any more.
+    """
+    names = [m for m in (*MODELS, *ENSEMBLES) if m != components.PLUG]
+    left = {k: v for m in names for k, v in checks.complete_where(m, components.PLUG).items()}
+    return once("plugged", lambda: components.plug_missing(models, names), left, by="ts_id")
 
 
 def blended(spark: SparkSession, sf: str, models: DataFrame) -> DataFrame:
     """models with the blends by weights from the validation; weights and blends know which predictions are missing."""
-    by_series = once("fitted-losses", lambda: ensembles.losses(validation(spark, sf), "daily_untouched", MODELS))
+    by_series = once("fitted-losses", lambda: ensembles.losses(validation(spark, sf), "daily_untouched", MODELS), by="ts_id")
     for name, k in BLENDS.items():
         models = ensembles.blend(models, ensembles.wide_weights(ensembles.weights(by_series, k), MODELS), MODELS, name)
     return models
@@ -202,7 +212,7 @@ def pipeline_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def plugged_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Error of every model and ensemble on the validation sample once missing predictions are plugged."""
-    return ensembles.losses(plugged(validation(spark, sf)), "daily_untouched", [*MODELS, *ENSEMBLES], ()).select("model", r("loss"))
+    return ensembles.losses(plugged(spark, validation(spark, sf)), "daily_untouched", [*MODELS, *ENSEMBLES], ()).select("model", r("loss"))
 
 
 @query()

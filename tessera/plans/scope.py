@@ -6,9 +6,9 @@ import functools
 from collections.abc import Callable
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from ..storage import materialize
+from ..storage import bucketed, materialize
 
 _KEPT: ContextVar[dict | None] = ContextVar("kept", default=None)
 
@@ -20,6 +20,8 @@ def scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     def run(spark: SparkSession, sf: str) -> DataFrame:
         if _KEPT.get() is not None:
             return query(spark, sf)
+        # tables in buckets of ts_id join by ts_id and time without a shuffle; set once for the session, as plans are lazy
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         token = _KEPT.set({})
         try:
             return query(spark, sf)
@@ -29,11 +31,15 @@ def scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
-def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """make(), written to the shared folder; within a query the same table for the same name."""
+def once(name: str, make: Callable[[], DataFrame], checks: dict[str, Column] | None = None, by: str | None = None) -> DataFrame:
+    """make(), written to the shared folder; within a query the same table for the same name. by: in buckets of this key."""
+
+    def written() -> DataFrame:
+        return bucketed(make(), name, by, checks=checks) if by else materialize(make(), name, checks)[0]
+
     kept = _KEPT.get()
     if kept is None:
-        return materialize(make(), name)[0]
+        return written()
     if name not in kept:
-        kept[name] = materialize(make(), name)[0]
+        kept[name] = written()
     return kept[name]

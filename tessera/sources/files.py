@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..operators.ranking import numbered
+from ..storage import CheckFailed, observed, verify
 
 
 def wide_csv(spark: SparkSession, path: str, ids: tuple[str, ...] = ("Page",)) -> DataFrame:
@@ -25,8 +28,16 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
+#: Column of the row's place in tables that are written in an order.
+ROW = "__row"
+
+
 class TableStore:
-    """Named Parquet tables in one folder, sorted by series within files so that filters on ts_id skip row groups."""
+    """Named Parquet tables in one folder.
+
+    put(order=...) keeps the rows in a global order and numbers them, so that slice() reads a range of rows; put(index=...) adds
+    bloom filters, so that a filter on such a column reads the row groups that may hold the value, wherever files overlap.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -34,10 +45,43 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def put(self, name: str, df: DataFrame, sort: tuple[str, ...] = (), partition: tuple[str, ...] = ()) -> None:
-        """Overwrites the table."""
-        df = df.sortWithinPartitions(*sort) if sort else df
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition).parquet(self.path(name))
+    def _writer(self, df: DataFrame, index: tuple[str, ...]):
+        writer = df.write.option("compression", "zstd")
+        for c in index:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        return writer
+
+    def put(self, name: str, df: DataFrame, sort: tuple[str, ...] = (), partition: tuple[str, ...] = (), order: tuple[str, ...] = (), index: tuple[str, ...] = (), checks: dict[str, Column] | None = None, rows_a_group: int | None = None) -> None:
+        """Overwrites the table, once the new one is whole and passes its checks (aggregates that must be true).
+
+        sort: within files; order: over the whole table; rows_a_group: rows of a row group at most, else by bytes.
+        """
+        if order:
+            numbers = numbered(df, list(order), to=ROW)
+            df = numbers.repartitionByRange(ROW).sortWithinPartitions(ROW)
+        elif sort:
+            df = df.sortWithinPartitions(*sort)
+        new = f"{name}.new"
+        if checks:
+            df, seen = observed(df, checks)
+        writer = self._writer(df, index)
+        if rows_a_group:
+            writer = writer.option("parquet.block.row.count.limit", str(rows_a_group)).option("parquet.page.row.count.limit", str(rows_a_group))
+        writer.mode("overwrite").partitionBy(*partition).parquet(self.path(new))
+        if checks:
+            try:
+                verify(seen, name)
+            except CheckFailed:
+                self.drop(new)
+                raise
+        self.rename(new, name)
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Overwrites those partitions of the table that df has rows of, and no others."""
+        by = self.partitions(name)
+        if not by:
+            raise ValueError(f"{name} has no partitions")
+        self._writer(df, ()).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.path(name))
 
     def partitions(self, name: str) -> list[str]:
         """Columns that the table's folders are named by."""
@@ -59,7 +103,7 @@ class TableStore:
         """Columns and filters reach the scan."""
         df = self.spark.read.parquet(self.path(name))
         df = df.where(where) if where else df
-        return df.select(*columns) if columns is not None else df
+        return df.select(*columns) if columns is not None else df.drop(ROW)
 
     def preview(self, name: str, n: int = 10) -> DataFrame:
         return self.get(name).limit(n)
@@ -67,8 +111,39 @@ class TableStore:
     def last_date(self, name: str, time: str = "time_d"):
         return self.get(name).agg(F.max(time)).first()[0]
 
+    def footers(self, name: str) -> list[tuple[str, list[int]]]:
+        """Files of the table in the order of their names and the rows of each of their row groups, from the footers alone."""
+        fs, path = self._fs()
+        conf, jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm
+        files, found = jvm.java.util.ArrayList(), fs.listFiles(path(self.path(name)), True)
+        while found.hasNext():
+            status = found.next()
+            if status.getPath().getName().endswith(".parquet"):
+                files.add(status)
+        out = []
+        for footer in jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, files, False):
+            blocks = footer.getParquetMetadata().getBlocks()
+            out.append((footer.getFile().toString(), [blocks.get(k).getRowCount() for k in range(blocks.size())]))
+        return sorted(out)
+
     def count(self, name: str) -> int:
-        return self.get(name).count()
+        """Rows of the table; no data page is read."""
+        return sum(sum(groups) for _, groups in self.footers(name))
+
+    def slice(self, name: str, start: int, stop: int) -> DataFrame:
+        """Rows start to stop - 1 of a table that put() wrote in an order, in that order.
+
+        The footers say which files hold them; in these the rows' numbers leave only the row groups that are needed.
+        """
+        at, files = 0, []
+        for file, groups in self.footers(name):
+            if at < stop and start < at + sum(groups):
+                files.append(file)
+            at += sum(groups)
+        if not files:
+            return self.spark.read.parquet(self.path(name)).where("false").drop(ROW)
+        rows = self.spark.read.parquet(*files)
+        return rows.where(F.col(ROW).between(start, stop - 1)).orderBy(ROW).drop(ROW)
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm

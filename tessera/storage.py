@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -35,10 +35,60 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+class CheckFailed(RuntimeError):
+    """A table broke one of its checks and wasn't kept."""
+
+
+def observed(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """df with the checks (aggregates over all its rows that must be true) as metrics of whatever job runs it."""
+    seen = Observation()
+    return df.observe(seen, *[F.coalesce(c, F.lit(True)).alias(name) for name, c in checks.items()]), seen
+
+
+def verify(seen: Observation, name: str) -> None:
+    broken = [check for check, held in seen.get.items() if not held]
+    if broken:
+        raise CheckFailed(f"{name}: {', '.join(broken)}")
+
+
+def materialize(df: DataFrame, name: str, checks: dict[str, Column] | None = None) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    checks are looked at in the pass that writes; where one fails the table goes and CheckFailed is raised.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if checks:
+        df, seen = observed(df, checks)
     df.write.parquet(path)
     temporary(spark, path)
+    if checks:
+        try:
+            verify(seen, name)
+        except CheckFailed:
+            remove(spark, path)
+            raise
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def bucketed(df: DataFrame, name: str, by: str = "ts_id", buckets: int | None = None, checks: dict[str, Column] | None = None) -> DataFrame:
+    """As materialize(), in buckets of a key and sorted by it: such tables join and group by the key without a shuffle.
+
+    Tables that are to be joined need the same number of buckets; the default is the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = fresh_path(spark, name), f"tessera_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, by)
+    if checks:
+        dealt, seen = observed(dealt, checks)
+    dealt.write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+    temporary(spark, path)
+    if checks:
+        try:
+            verify(seen, name)
+        except CheckFailed:
+            spark.sql(f"DROP TABLE {table}")
+            remove(spark, path)
+            raise
+    return spark.table(table)

@@ -12,6 +12,7 @@ from tessera.plans import fitted
 from tessera.plans.forecasts import ENSEMBLES, MODELS
 from tessera.plans.scope import scoped
 from tessera.sarima import grouped
+from tessera.storage import CheckFailed, materialize
 
 START, DAYS = dt.date(2023, 5, 8), 252  # Monday to Sunday 2024-01-14; the last 60 days hold Christmas
 CHRISTMAS = dt.date(2023, 12, 25)
@@ -30,8 +31,7 @@ def out(spark):
     levels = clean.daily_clean(panel).withColumns({"daily_level": F.col("daily_cleaned"), "day_of_week": F.weekday("time_d")})
     hole = (F.col("ts_id") == "gap") & (F.col("time_d") == F.lit(START + dt.timedelta(days=100)))
     levels = levels.withColumn("daily_level", F.when(~hole, F.col("daily_level")))
-    levels.write.parquet("/tmp/fitted-levels-" + spark.sparkContext.applicationId)
-    levels = spark.read.parquet("/tmp/fitted-levels-" + spark.sparkContext.applicationId)
+    levels, _ = materialize(levels, "test-levels")
 
     patch = pytest.MonkeyPatch()
     patch.setattr(fitted, "kept_levels", lambda spark, sf: levels)
@@ -46,6 +46,8 @@ def out(spark):
         found["factors"] = fitted.holiday_factors(spark, sf).collect()
         found["scores"] = fitted.pipeline_scores(spark, sf).collect()
         found["plugged"] = fitted.plugged_scores(spark, sf).collect()
+        scores = fitted.ensembles.losses(fitted.blended(spark, sf, fitted.validation(spark, sf)), "daily_untouched", MODELS, ("ts_id",))
+        found["plan"] = scores._jdf.queryExecution().executedPlan().toString()
         found["forecast"] = fitted.pipeline_end_to_end(spark, sf).collect()
         return found["scores"]
 
@@ -99,3 +101,14 @@ def test_scores_with_and_without_plugs(out):
     assert set(scores) == {*MODELS, *ENSEMBLES, *fitted.BLENDS} and set(plugged) == {*MODELS, *ENSEMBLES}
     assert scores["mod_sstat_median_last60"] == plugged["mod_sstat_median_last60"]
     assert scores["mod_ts_daily_level"] != plugged["mod_ts_daily_level"]
+
+
+def test_matrix_losses_and_blends_join_in_their_buckets(out):
+    """Behind the levels nothing is shuffled by series: validation, losses, weights and blends are in the same buckets."""
+    assert "hashpartitioning" not in out["plan"] and "SortMergeJoin" in out["plan"] or "BroadcastHashJoin" in out["plan"]
+
+
+def test_a_day_without_its_actual_value_stops_the_pipeline(spark):
+    frame = spark.createDataFrame([("a", None)], "ts_id string, actual boolean")
+    with pytest.raises(CheckFailed, match="actual complete"):
+        fitted.once("validation", lambda: frame, fitted.checks.complete("actual"), by="ts_id")

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import similar
 from .common import bounded_batches, materialize
 from .components import components
 
@@ -205,14 +206,33 @@ def with_components(hashed: DataFrame) -> DataFrame:
     return hashed.join(of_print, "fp")
 
 
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, content (the text's hash) and component_id of every row; components join texts of similarity similar.SIMILAR or more.
+
+    Candidates are the links between fingerprints and those of minimum hashes of the same shingles, which find what differs in
+    more than RADIUS bits; all of them are verified. component_id is the smallest doc_id, NULL where there is none.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    rows, _ = materialize(similar.with_bands(with_fingerprints(own).select("doc_id", "content", "fp", "text")), "signatures")
+    texts, _ = materialize(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    prints, _ = materialize(texts.groupBy("fp").agg(F.min("content").alias("lead")), "prints")
+    same = texts.join(prints, "fp").select(F.col("content").alias("a"), F.col("lead").alias("b"))
+    lead = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    across = links(prints.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    pairs = same.unionByName(across).unionByName(similar.banded(texts))
+    roots = components(similar.verified(pairs, own.select("content", "text")))
+    named, _ = materialize(texts.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", F.coalesce("root", "content").alias("root")), "roots")
+    smallest, _ = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    of_text, _ = materialize(named.join(smallest, "root").select("content", "component_id"), "components")
+    return rows.select("doc_id", "content").join(of_text, "content")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all columns of docs; repeated rows of it go.
+    """The document with the smallest doc_id of each component of near_classes(), with all columns of docs; repeated rows of it go.
 
     Of rows that have the id and the text in common but differ elsewhere, the one with the smallest hash of all columns stays.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    keys, _ = materialize(with_fingerprints(own).drop("text"), "fingerprints")
-    kept = with_components(keys).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
+    kept = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct()
     at = docs.select("*", F.col("doc_id").cast("long").alias("__own_id"), F.xxhash64("text").alias("__own_content"))
     same = at.join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_content") == F.col("__content")), "left_semi")
     names = [F.col(f"`{c}`") for c in docs.columns]

@@ -1,3 +1,4 @@
+import math
 import sys
 from pathlib import Path
 
@@ -6,7 +7,7 @@ from frames import no_documents  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tessera.llm import lines, toxicity  # noqa: E402
+from tessera.llm import lines, simhash, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -81,13 +82,67 @@ def brute_lines(rows):
     return out
 
 
+def shingles_of(text):
+    """The text's five-word shingles, as strings; of fewer words, all of them as one."""
+    import re
+
+    w = [x for x in re.split(r"[ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar_pairs(rows, least=0.8):
+    """All pairs of these (id, text) rows of this similarity, by prefixes of the rarest shingles, which miss none."""
+    from collections import Counter, defaultdict
+
+    sets = {d: shingles_of(t) for d, t in rows}
+    often = Counter(s for own in sets.values() for s in own)
+    holders, out = defaultdict(list), set()
+    for d, own in sorted(sets.items()):
+        prefix = sorted(own, key=lambda s: (often[s], s))[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+        for e in {e for s in prefix for e in holders[s]}:
+            shared = len(own & sets[e])
+            if shared >= least * (len(own) + len(sets[e]) - shared):
+                out.add((e, d))
+        for s in prefix:
+            holders[s].append(d)
+    return out
+
+
+def similar_components(rows):
+    """id -> smallest id that links reach."""
+    root = {d: d for d, _ in rows}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in similar_pairs(rows):
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {d: top(d) for d in root}
+
+
+def test_near_duplicates_of_the_table(spark):
+    """Of all pairs of different texts at 0.8 or more, the stage joins 0.95 or more; it joins nothing that such pairs don't."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    least = {}
+    for r in sorted(docs.collect()):
+        least.setdefault(r["text"], r["doc_id"])
+    rows = [(d, t) for t, d in least.items()]
+    pairs, ids = similar_pairs(rows), {d for d, _ in rows}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(docs).collect()}
+    assert len(pairs) > 40 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    whole = similar_components(rows)
+    assert all(whole[d] <= got[d] and whole[got[d]] == whole[d] for d in ids)
+
+
 def test_pipeline_against_brute_force(spark):
-    import math
     import re
 
     import sentencepiece
 
-    from test_text_operators import PIECES, brute_components, brute_fingerprint
+    from test_text_operators import PIECES
 
     table = spark.read.parquet(f"{FOLDER}/documents.parquet")
     weights, bias = toxicity.train(table, spark.read.parquet(f"{FOLDER}/labels.parquet"))
@@ -95,8 +150,7 @@ def test_pipeline_against_brute_force(spark):
     chance = lambda t: 1 / (1 + math.exp(-(bias + sum(weights.get(s, 0.0) for w in toxicity.words(t) for s in toxicity.slots(w)))))
     rows = [(d, t) for d, t in rows if chance(t) < toxicity.THRESHOLD]
     text = brute_lines(rows)
-    prints = [(d, brute_fingerprint(text[d])) for d, _ in rows]
-    rows = [d for (d, _), c in zip(prints, brute_components(prints), strict=True) if d == c]
+    rows = [d for d, c in similar_components([(d, text[d]) for d, _ in rows]).items() if d == c]
     cut = lambda t: [w for w in re.split(r"[ \t-\r]+", t.lower()) if w]
     runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     items = [cut(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]

@@ -29,7 +29,7 @@ def test_a_query_writes_a_table_that_it_reads_often_once(spark):
 
     made = []
     real = scope.materialize
-    scope.materialize = lambda df, name: made.append(name) or real(df, name)
+    scope.materialize = lambda df, name, checks=None: made.append(name) or real(df, name, checks)
     try:
         registry.QUERIES["forecast_pipeline"](spark, FOLDER)
     finally:

@@ -32,8 +32,7 @@ def planned(stacked: DataFrame, params: DataFrame, most: tuple[int, int, int, in
     rows, _ = materialize(series_rows(stacked, params).withColumn("cost", cost(F.size("ys"), F.col("S"), F.col("found_stn"), most)), "series")
     if tasks is None:
         tasks = TASKS_A_CORE * stacked.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(tasks, rows.count()))
-    return packed(rows, tasks), tasks
+    return packed(rows, tasks)
 
 
 def fit_planned(rows: DataFrame, tasks: int, horizons: Horizons, most: tuple[int, int, int, int] = BOUNDS, most_rounds: int = 1000) -> DataFrame:

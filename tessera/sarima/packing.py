@@ -38,10 +38,14 @@ def deal(classes: list[tuple[float, int]], tasks: int) -> list[np.ndarray]:
     return out
 
 
-def packed(series: DataFrame, tasks: int, keys: tuple[str, ...] = ("ts_id", "variable")) -> DataFrame:
-    """series (keys, cost) with task, from 0 to tasks - 1. Only the classes' counts reach the driver."""
-    own = series.withColumn("__class", -F.ceil(F.log(F.greatest("cost", F.lit(1e-6))) * STEPS).cast("int"))
+def packed(series: DataFrame, tasks: int, keys: tuple[str, ...] = ("ts_id", "variable")) -> tuple[DataFrame, int]:
+    """series (a written table with keys and cost) with task, and the number of tasks: as asked for, but no more than series.
+
+    Only the classes' counts reach the driver; only keys are ranked, not what the series hold.
+    """
+    own = series.select(*keys, (-F.ceil(F.log(F.greatest("cost", F.lit(1e-6))) * STEPS)).cast("int").alias("__class"))
     counted = own.groupBy("__class").agg(F.count("*").alias("n")).orderBy("__class").collect()
+    tasks = max(1, min(tasks, sum(r["n"] for r in counted)))
     given = deal([(float(np.exp(-r["__class"] / STEPS)), r["n"]) for r in counted], tasks)
     rows = []
     for r, g in zip(counted, given, strict=True):
@@ -50,4 +54,4 @@ def packed(series: DataFrame, tasks: int, keys: tuple[str, ...] = ("ts_id", "var
     plan = series.sparkSession.createDataFrame(rows, "__class int, __starts array<long>, __tasks array<int>")
     placed = numbered(own, list(keys), ("__class",), "__rank").join(F.broadcast(plan), "__class")
     at = F.size(F.filter("__starts", lambda s: s <= F.col("__rank"))) - 1
-    return placed.withColumn("task", F.get("__tasks", at)).drop("__class", "__rank", "__starts", "__tasks")
+    return series.join(placed.select(*keys, F.get("__tasks", at).alias("task")), list(keys)), tasks

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.keys import PARTS
+
 
 def counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -38,6 +40,23 @@ def top_series(df: DataFrame, value: str, n: int = 200, without: tuple[str, ...]
     return df.groupBy("ts_id").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total")).orderBy(F.desc("total"), "ts_id").limit(n)
 
 
+def top_pages(df: DataFrame, page_map: DataFrame, value: str, n: int = 200, only: dict[str, str] | None = None, without: tuple[str, ...] = (), not_first: tuple[str, ...] = ()) -> DataFrame:
+    """The n pages with the largest totals among those of the map that pass the filters: ts_id, total and the page's parts.
+
+    only: part -> value (project, access, agent); names that contain one of `without` or begin with one of `not_first` are left
+    out. The map is filtered first, so only its pages' rows are summed. Ties by ts_id.
+    """
+    kept = page_map
+    for part, wanted in (only or {}).items():
+        kept = kept.where(F.col(part) == wanted)
+    for part in without:
+        kept = kept.where(~F.col("name").contains(part))
+    for part in not_first:
+        kept = kept.where(~F.col("name").startswith(part))
+    totals = df.join(kept.select("ts_id"), "ts_id", "left_semi").groupBy("ts_id").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
+    return totals.join(kept.select("ts_id", *PARTS), "ts_id").orderBy(F.desc("total"), "ts_id").limit(n)
+
+
 def loss_by_rank(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("model_rank").agg(F.avg("loss").alias("loss"), F.count("loss").alias("n"))
 

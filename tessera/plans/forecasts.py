@@ -473,3 +473,15 @@ def submission_page_map(spark: SparkSession, sf: str) -> DataFrame:
     days = lines.select(F.col("l_shipdate").cast("date").alias("time_d")).distinct()
     dated = pages.join(F.broadcast(days)).select(F.concat_ws("_", "name", "project", "access", "agent", F.date_format("time_d", "yyyy-MM-dd")).alias("Page")).withColumn("Id", F.md5("Page"))
     return submission.with_series(submission.parse_dated_key(dated), pages).drop("Page")
+
+
+@query(f"""WITH p AS ({_PAGES}), t AS (SELECT l_returnflag || '_x' AS name, l_linestatus AS project, l_linenumber::VARCHAR AS agent, coalesce(sum(l_quantity), 0) AS total FROM lineitem GROUP BY ALL)
+    SELECT ts_id, total, name, project, access, agent FROM p JOIN t USING (name, project, agent)
+    WHERE project = 'O' AND access = 'all' AND NOT contains(name, 'R_') AND NOT starts_with(name, 'X') ORDER BY total DESC, ts_id LIMIT 200""")
+def top_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The most visited pages of one project and access, by the map of pages and without special names."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat("l_returnflag", F.lit("_x")).alias("name"), F.col("l_linestatus").alias("project"), F.lit("all").alias("access"), F.col("l_linenumber").alias("agent"), "l_quantity")
+    parts = ["name", "project", "access", "agent"]
+    pages = once("pages", lambda: panels.series_ids(lines.select(*parts), parts))
+    visits = lines.join(pages, parts).select("ts_id", "l_quantity")
+    return report.top_pages(visits, pages.withColumn("agent", F.col("agent").cast("string")), "l_quantity", 200, {"project": "O", "access": "all"}, ("R_",), ("X",))

@@ -215,3 +215,13 @@ def test_stationary_series_takes_logarithm_and_differences(spark):
 def test_series_of_another_length_are_found(spark):
     both = series(spark, [1, 2, 3]).union(series(spark, [1, 2], "b"))
     assert [r["ts_id"] for r in ensembles.lengths_check(both).collect()] == ["b"]
+
+
+def test_top_pages_filters_by_the_map(spark):
+    from tessera.operators import report
+
+    pages = [(0, "A", "en", "all", "all"), (1, "Special:B", "en", "all", "all"), (2, "Xenon", "en", "all", "all"), (3, "C", "fr", "all", "all"), (4, "D", "en", "all", "all"), (5, "E", "en", "desktop", "all"), (6, "F", "en", "all", "all")]
+    page_map = spark.createDataFrame(pages, "ts_id long, name string, project string, access string, agent string")
+    visits = spark.createDataFrame([(k, float(10 - k)) for k in range(7)] + [(4, 5.0), (6, None), (0, None)], "ts_id long, v double")
+    got = report.top_pages(visits, page_map, "v", 2, {"project": "en", "access": "all", "agent": "all"}, ("Special:",), ("X",)).collect()
+    assert [(r["ts_id"], r["total"], r["name"]) for r in got] == [(4, 11.0, "D"), (0, 10.0, "A")]

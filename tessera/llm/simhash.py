@@ -213,7 +213,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     more than RADIUS bits; all of them are verified. component_id is the smallest doc_id, NULL where there is none.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    rows, _ = materialize(similar.with_bands(with_fingerprints(own).select("doc_id", "content", "fp", "text")), "signatures")
+    rows, _ = materialize(similar.with_bands(own, fingerprints), "signatures")
     texts, _ = materialize(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
     prints, _ = materialize(texts.groupBy("fp").agg(F.min("content").alias("lead")), "prints")
     same = texts.join(prints, "fp").select(F.col("content").alias("a"), F.col("lead").alias("b"))

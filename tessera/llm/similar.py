@@ -1,26 +1,32 @@
-"""Pairs of texts by the Jaccard similarity of their sets of five-word shingles: candidates by minimum hashes, exact verification.
+"""Pairs of texts by the Jaccard similarity of their sets of five-word shingles: candidates by minimum hashes and by prefixes, exact verification.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words is one shingle of them all, and texts
 without words have one empty shingle in common. A signature has BANDS keys, each of ROWS minimum hashes, so two texts of
 similarity 0.8 share a key with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.998, and more alike ones with a higher one. A
 bucket of texts with one key gives three links for each member, to the smallest number and to the smallest of two hashes in it,
-however many there are; so no bucket makes pairs of all its members, and the bands' different buckets join most of what one alone
-leaves out. Two texts that share keys but no similar text at the head of any of their buckets stay apart.
+however many there are; so no bucket makes pairs of all its members. What the bands and their heads leave out is found exactly by
+`apart`: two sets of similarity 0.8 or more, in any one order of all shingles, share one of the first n - ceil(0.8 n) + 1 of each
+(Chaudhuri et al. 2006). The order is that of the hashes, with shingles that many texts begin with last; it decides how many
+candidates there are, not what is found. Pairs that components join already are left out, and pairs that share too few of their
+first shingles for the similarity (Xiao et al. 2008); all others are verified, so no similar texts stay apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded_batches, materialize, release
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
+#: A shingle is frequent if it is among the first of more texts than this; tasks report those that they see SOME times, MOST are used.
+FREQUENT, SOME, MOST = 100, 4, 1 << 18
 _TIMES = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.default_rng(81).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -46,20 +52,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, fingerprints: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """docs with fp (a long for each text) and bands (its band keys) in the place of text, in one pass of one worker a core."""
+    """docs with fp (a long for each text), bands (its band keys) and n (its different shingles) in the place of text, in one pass of one worker a core."""
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(names)).to_pylist()
-            keys = [band_keys(shingle_set(t)) for t in texts]
+            sets = [shingle_set(t) for t in texts]
+            keys = [band_keys(x) for x in sets]
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fingerprints(texts)), lists], names=[*names, "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fingerprints(texts)), lists, pa.array([len(x) for x in sets], pa.int64())], names=[*names, "fp", "bands", "n"])
         release()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "fp long, bands array<long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "fp long, bands array<long>, n long"])
     return docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
@@ -103,3 +110,66 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
 
     both = pairs.join(hashed.toDF("a", "of_a"), "a").join(hashed.toDF("b", "of_b"), "b")
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+
+
+def first_shingles(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first of an ascending set of hashes of which a similar set must share one; frequent ones (ascending) come last."""
+    if len(frequent):
+        last = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[: len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-9) + 1]
+
+
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Hashes that are among the first of many texts (text), ascending: the MOST most frequent of those that tasks see SOME times."""
+    none = np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def seen() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([none, *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[n >= SOME].view(np.int64)), pa.array(n[n >= SOME].astype(np.int64))], names=["token", "n"])
+
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            held += [first_shingles(shingle_set(t), none) for t in b.column(0).to_pylist()]
+            size += sum(map(len, held[-len(b) :])) if len(b) else 0
+            if size >= 1 << 22:
+                yield seen()
+                size = 0
+        yield seen()
+        release()
+
+    counted = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "token long, n long")
+    rows = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST).toArrow()
+    return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def apart(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b, of named (content, root, n) that have different roots, every similar pair among them.
+
+    texts: content, text; n: number of different shingles.
+    """
+    bounded_batches(texts.sparkSession)
+    sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [first_shingles(shingle_set(t), sent.value) for t in b.column(1).to_pylist()]
+            if own:
+                content = np.repeat(b.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(content)], names=["token", "content"])
+        release()
+
+    tokens = texts.select("content", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(firsts, "token long, content long")
+    of_token = Window.partitionBy("token")
+    several = lambda df, c: df.withColumn("__least", F.min(c).over(of_token)).withColumn("__most", F.max(c).over(of_token)).where("__least < __most").drop("__least", "__most")
+    shared, _ = materialize(several(tokens, "content").distinct(), "shared-firsts")
+    known, _ = materialize(several(shared.join(named.select("content", "root", "n"), "content"), "root"), "firsts-of-several")
+    x, y = (known.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "n")]) for k in "xy")
+    both = x.join(y, "token").where("root_x < root_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
+    counted = both.groupBy("content_x", "content_y").agg(F.count("*").alias("c"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
+    # behind the first shingles of either there are ceil(0.8 n) - 1 more, of 4 / 9 (n + m) that a similar pair shares
+    enough = counted.where("9 * (c + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)")
+    return ordered(enough.select(F.col("content_x").alias("a"), F.col("content_y").alias("b")))

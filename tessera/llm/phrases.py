@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ranking import numbered
-from .common import bounded_batches, fresh_path, materialize, release, temporary
+from .common import bounded_batches, fresh_path, materialize, release, remove, temporary
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: A candidate goes if a longer one around it has this share (in hundredths) of its frequency; scores are in millionths.
@@ -241,9 +241,11 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: i
     temporary(spark, path)
     made = spark.read.schema(SHARDS).parquet(path)
     texts, sketch = made.where("kind = 'text'").select("shard", "lang", "payload"), made.where("kind = 'cells'").select("shard", "slice", "payload")
-    heavy, _ = materialize(sketch.groupBy("slice").applyInArrow(_heavy(least, bits), "shard long, payload binary"), "heavy-cells")
+    heavy, heavy_path = materialize(sketch.groupBy("slice").applyInArrow(_heavy(least, bits), "shard long, payload binary"), "heavy-cells")
+    remove(spark, f"{path}/kind=cells")  # the heavy ones are written; texts are read from their own partition
     found = texts.groupBy("shard").cogroup(heavy.groupBy("shard")).applyInArrow(_scan(longest), COUNTS)
     summed, _ = materialize(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
+    remove(spark, heavy_path)
     return summed, made.where("kind = 'text'").groupBy("lang").agg(F.sum("n").alias("n"))
 
 

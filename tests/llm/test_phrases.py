@@ -98,3 +98,16 @@ def test_odd_tables(spark):
     rows = [(None, r["text"]) for r in docs.collect()]
     assert ours(phrases.collocations(docs, least=2)) == brute(rows, least=2)
     assert phrases.collocations(no_documents(spark).withColumn("lang", F.lit("en"))).count() == 0
+
+
+def test_spent_tables_go(spark, monkeypatch):
+    """The sketch and the heavy cells leave the shared folder once they are used; what is returned needs neither."""
+    from pathlib import Path
+
+    made, fresh = [], phrases.fresh_path
+    monkeypatch.setattr(phrases, "fresh_path", lambda *a: made.append(fresh(*a)) or made[-1])
+    docs = spark.createDataFrame([(k, "one two three", "en") for k in range(12)], "doc_id long, text string, lang string")
+    summed, n = phrases.counts(docs, shard=64, each_slice=64)
+    folder = Path(made[0].removeprefix("file:"))
+    assert any((folder / "kind=text").iterdir()) and not (folder / "kind=cells").exists()
+    assert summed.count() == 6 and {tuple(r) for r in n.collect()} == {("en", 36)}

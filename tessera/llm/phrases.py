@@ -149,15 +149,18 @@ def _heavy(least: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         shards, payloads = table["shard"].to_numpy(), table["payload"]
+        release()
         own, counts = zip(*(unpack(p.as_py()) for p in payloads), strict=True)
-        every = np.concatenate(own)
-        order = np.argsort(every, kind="stable")
-        every, of = every[order], np.concatenate(counts)[order]
+        whole = np.concatenate(own)
+        own = np.split(whole, np.cumsum([len(c) for c in own])[:-1])  # so that the cells are in memory once
+        order = np.argsort(whole, kind="stable")
+        every, of = whole[order], np.concatenate(counts)[order]
+        del order, counts
         first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         heavy = every[first][np.add.reduceat(of, first, dtype=np.int64) >= least]
+        del every, of, first
         back = [c[is_in(c, heavy)] for c in own]
         some = [k for k, c in enumerate(back) if len(c)]
-        del every, order, of, first
         release()
         return pa.table({"shard": pa.array(shards[some], pa.int64()), "payload": pa.array([pack(back[k]) for k in some], pa.binary())})
 

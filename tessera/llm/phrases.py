@@ -3,7 +3,7 @@
 Texts, A-Z lower-cased, are split into pieces at delimiters and pieces into words; phrases are runs of words within a piece.
 
 1. Sketch. Each task packs texts of one language into shards of SHARD bytes and counts the phrases of one to `longest` words by
-   cells of a hash. The sketch has 2 ** CELL_BITS cells, of which those in use are kept, as sorted numbers, in slices by their
+   cells of a hash. The sketch has EACH to 2 * EACH cells for a byte of text, 2 ** CELL_BITS at most, of which those in use are kept, as sorted numbers, in slices by their
    leading bits; counts stop at `least`. Executors add up a slice over all shards: a cell's sum is an upper bound of the
    frequency of every phrase in it, as collisions only add. Each shard gets back its own cells that reach `least`.
 2. Count. Words are counted as they are numbered. The longer phrases of a shard in such cells, and no others, are compiled into an Aho-Corasick automaton (pyahocorasick) with a
@@ -38,7 +38,8 @@ WITHIN, UNIT = 50, 1_000_000
 SHARD, SLICE = 8 << 20, 16 << 20
 #: Bytes of text that a task keeps for shards of several languages.
 PENDING = 24 << 20
-CELL_BITS = 48
+#: Cells for each byte of text (more of them take more bits each on disk, fewer bring more phrases that share one), and the most bits of a cell.
+EACH, CELL_BITS = 64, 48
 UNKNOWN = "und"
 
 _CLASS = np.zeros(256, np.uint8)
@@ -70,8 +71,8 @@ def joined(ids: np.ndarray, words: list[str], piece: np.ndarray) -> str:
     return " " + " ".join(map([*words, "\n"].__getitem__, np.insert(ids, cuts, len(words)).tolist())) + " "
 
 
-def cells(ids: np.ndarray, words: list[str], piece: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each number of words the places where such phrases begin, and their cells."""
+def cells(ids: np.ndarray, words: list[str], piece: np.ndarray, lang: str, longest: int, wide: int = CELL_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each number of words the places where such phrases begin, and their cells of `wide` bits."""
     import xxhash
 
     of_word = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -83,7 +84,7 @@ def cells(ids: np.ndarray, words: list[str], piece: np.ndarray, lang: str, longe
             at, h = at[some], h[some]
         h = (h ^ of_word[ids[at + k]]) * _MIX
         h ^= h >> np.uint64(29)
-        yield at, (h * _MIX) >> np.uint64(64 - CELL_BITS)
+        yield at, (h * _MIX) >> np.uint64(64 - wide)
 
 
 def pack(sorted_cells: np.ndarray, counts: np.ndarray | None = None) -> bytes:
@@ -99,7 +100,7 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 SHARDS = "shard long, lang string, kind string, slice long, n long, payload binary"
 
 
-def _shards(longest: int, least: int, bits: int, full: int):
+def _shards(longest: int, least: int, bits: int, full: int, wide: int):
     """Texts of a task -> for each shard its text in normal form and its cells by slice."""
 
     def rows(shard: int, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +109,9 @@ def _shards(longest: int, least: int, bits: int, full: int):
         texts.clear()
         if not len(ids):
             return
-        found, counts = np.unique(np.concatenate([c for _, c in cells(ids, words, piece, lang, longest)]), return_counts=True)
+        found, counts = np.unique(np.concatenate([c for _, c in cells(ids, words, piece, lang, longest, wide)]), return_counts=True)
         counts = np.minimum(counts, least)
-        of_slice = found >> np.uint64(CELL_BITS - bits)
+        of_slice = found >> np.uint64(wide - bits)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(of_slice)) + 1, [len(found)]))
         payload = [zstandard.ZstdCompressor(level=1).compress(joined(ids, words, piece).encode())]
         payload += [pack(found[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -178,7 +179,7 @@ def is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 COUNTS = "lang string, phrase string, a long"
 
 
-def _scan(longest: int):
+def _scan(longest: int, wide: int):
     """A shard's text and its heavy cells -> how often the shard has each phrase of these cells."""
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
@@ -191,7 +192,7 @@ def _scan(longest: int):
         heavy = np.sort(np.concatenate([unpack(p.as_py())[0] for p in replies["payload"]]))
         ids, words, piece = words_of(raw)
         texts_of = words.cast(pa.string()).to_pylist()
-        single, phrases = candidates(ids, texts_of, piece, heavy, lang, longest)
+        single, phrases = candidates(ids, texts_of, piece, heavy, lang, longest, wide)
         found = np.bincount(ids, minlength=len(texts_of))[single]
         automaton = ahocorasick.Automaton()
         for k, phrase in enumerate(phrases):
@@ -208,19 +209,19 @@ def _scan(longest: int):
     return run
 
 
-def candidates(ids: np.ndarray, words: list[str], piece: np.ndarray, heavy: np.ndarray, lang: str, longest: int) -> tuple[np.ndarray, list[str]]:
+def candidates(ids: np.ndarray, words: list[str], piece: np.ndarray, heavy: np.ndarray, lang: str, longest: int, wide: int = CELL_BITS) -> tuple[np.ndarray, list[str]]:
     """Numbers of the words in heavy cells, and the different longer phrases in such cells; told apart by their words, not by hashes."""
     single, phrases = np.zeros(0, np.int64), []
-    for k, (at, own) in enumerate(cells(ids, words, piece, lang, longest)):
+    for k, (at, own) in enumerate(cells(ids, words, piece, lang, longest, wide)):
         at = at[is_in(own, heavy)]
         if not k:
             single = np.unique(ids[at])
             continue
-        wide = max(1, len(words)) ** (k + 1) >= 1 << 63  # then the phrases are numbered word by word
+        many = max(1, len(words)) ** (k + 1) >= 1 << 63  # then the phrases are numbered word by word
         key = ids[at].astype(np.int64)
         for step in range(1, k + 1):
-            key = (np.unique(key, return_inverse=True)[1] if wide else key) * len(words) + ids[at + step]
-        if wide:
+            key = (np.unique(key, return_inverse=True)[1] if many else key) * len(words) + ids[at + step]
+        if many:
             first = at[np.unique(key, return_index=True)[1]]
             columns = [ids[first + step] for step in range(k + 1)]
         else:
@@ -232,6 +233,11 @@ def candidates(ids: np.ndarray, words: list[str], piece: np.ndarray, heavy: np.n
     return single, phrases
 
 
+def cell_bits(size: int, bits: int) -> int:
+    """Bits of a cell for `size` bytes of text, of which `bits` tell its slice."""
+    return max(bits, min(CELL_BITS, (EACH * size).bit_length()))
+
+
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: int = SHARD, each_slice: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of all phrases of up to `longest` words that stand `least` times or more; (lang, n) of all words."""
     spark = docs.sparkSession
@@ -239,14 +245,15 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: i
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // each_slice).bit_length())
+    wide = cell_bits(size, bits)
     path = fresh_path(spark, "shards")
-    own.mapInArrow(_shards(longest, least, bits, shard), SHARDS).write.partitionBy("kind").parquet(path)
+    own.mapInArrow(_shards(longest, least, bits, shard, wide), SHARDS).write.partitionBy("kind").parquet(path)
     temporary(spark, path)
     made = spark.read.schema(SHARDS).parquet(path)
     texts, sketch = made.where("kind = 'text'").select("shard", "lang", "payload"), made.where("kind = 'cells'").select("shard", "slice", "payload")
     heavy, heavy_path = materialize(sketch.groupBy("slice").applyInArrow(_heavy(least, bits), "shard long, payload binary"), "heavy-cells")
     remove(spark, f"{path}/kind=cells")  # the heavy ones are written; texts are read from their own partition
-    found = texts.groupBy("shard").cogroup(heavy.groupBy("shard")).applyInArrow(_scan(longest), COUNTS)
+    found = texts.groupBy("shard").cogroup(heavy.groupBy("shard")).applyInArrow(_scan(longest, wide), COUNTS)
     summed, _ = materialize(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
     remove(spark, heavy_path)
     return summed, made.where("kind = 'text'").groupBy("lang").agg(F.sum("n").alias("n"))

@@ -111,3 +111,13 @@ def test_spent_tables_go(spark, monkeypatch):
     folder = Path(made[0].removeprefix("file:"))
     assert any((folder / "kind=text").iterdir()) and not (folder / "kind=cells").exists()
     assert summed.count() == 6 and {tuple(r) for r in n.collect()} == {("en", 36)}
+
+
+def test_cells_take_the_bits_that_the_corpus_needs():
+    """Cells of 64 to 128 a byte, so that a shard's sorted cells take few bytes each; slices are told by the leading bits all the same."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60_000)]
+    ids, piece = rng.integers(0, len(words), 300_000), np.zeros(300_000, np.int64)
+    size = {wide: len(phrases.pack(np.unique(np.concatenate([c for _, c in phrases.cells(ids, words, piece, "en", 3, wide)])))) for wide in (phrases.cell_bits(1 << 29, 5), phrases.CELL_BITS)}
+    assert size[phrases.cell_bits(1 << 29, 5)] < 0.75 * size[phrases.CELL_BITS]
+    assert phrases.cell_bits(0, 0) == 0 and phrases.cell_bits(1 << 60, 44) == phrases.CELL_BITS and phrases.cell_bits(100, 20) == 20

@@ -215,14 +215,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     rows, _ = materialize(similar.with_bands(own, fingerprints), "signatures")
-    texts, _ = materialize(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n")), "texts")
+    texts, _ = materialize(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n").alias("n")), "texts")
     prints, _ = materialize(texts.groupBy("fp").agg(F.min("content").alias("lead")), "prints")
     same = texts.join(prints, "fp").select(F.col("content").alias("a"), F.col("lead").alias("b"))
     lead = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
     across = links(prints.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
     pairs = same.unionByName(across).unionByName(similar.banded(texts))
     roots = components(similar.verified(pairs, own.select("content", "text")))
-    joined, _ = materialize(texts.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", "n", F.coalesce("root", "content").alias("root")), "joined")
+    joined, _ = materialize(texts.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", "n", "odd", F.coalesce("root", "content").alias("root")), "joined")
     more, _ = materialize(similar.verified(similar.apart(joined, own.select("content", "text")), own.select("content", "text")), "more-pairs")
     of = lambda c: joined.select(F.col("content").alias(c), F.col("root").alias(f"{c}_root"))
     across = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))

@@ -8,7 +8,10 @@ however many there are; so no bucket makes pairs of all its members. What the ba
 `apart`: two sets of similarity 0.8 or more, in any one order of all shingles, share one of the first n - ceil(0.8 n) + 1 of each
 (Chaudhuri et al. 2006). The order is that of the hashes, with shingles that many texts begin with last; it decides how many
 candidates there are, not what is found. Pairs that components join already are left out, and pairs that share too few of their
-first shingles for the similarity (Xiao et al. 2008); all others are verified, so no similar texts stay apart.
+first shingles for the similarity (Xiao et al. 2008); all others are verified, so no similar texts stay apart. Texts that have a
+passage in common and little else don't come out of the join: of each set the parities of its hashes' numbers in PARITIES bins
+are kept, two sets differ in at least as many shingles as bins of unlike parity (Sandes et al. 2017), and similar ones in
+(n + m) / 9 at most.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import bounded_batches, materialize, release
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 5
+PARITIES = 1024
 #: A shingle is frequent if it is among the first of more texts than this; tasks report those that they see SOME times, MOST are used.
 FREQUENT, SOME, MOST = 100, 4, 1 << 18
 _TIMES = np.random.default_rng(80).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,22 +55,30 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * _BAND).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits of a set of hashes, as signed integers: whether a bin holds an odd number of them."""
+    odd = np.bincount((hashes >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def with_bands(docs: DataFrame, fingerprints: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """docs with fp (a long for each text), bands (its band keys) and n (its different shingles) in the place of text, in one pass of one worker a core."""
+    """docs with fp (a long for each text), bands (its band keys), odd (its parities) and n (its different shingles) in the place of text, in one pass of one worker a core."""
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
 
+    def listed(rows: list[np.ndarray]) -> pa.ListArray:
+        bounds = np.r_[0, np.cumsum([len(x) for x in rows], dtype=np.int64)]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(names)).to_pylist()
             sets = [shingle_set(t) for t in texts]
-            keys = [band_keys(x) for x in sets]
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fingerprints(texts)), lists, pa.array([len(x) for x in sets], pa.int64())], names=[*names, "fp", "bands", "n"])
+            lists = [listed([of(x) for x in sets]) for of in (band_keys, parities)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fingerprints(texts)), *lists, pa.array([len(x) for x in sets], pa.int64())], names=[*names, "fp", "bands", "odd", "n"])
         release()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "fp long, bands array<long>, n long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "fp long, bands array<long>, odd array<long>, n long"])
     return docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
@@ -146,10 +158,17 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def meetings(known: DataFrame) -> DataFrame:
+    """Pairs of known (token, content, root, n, odd) of one token, of different roots, that may be similar by their sizes and parities."""
+    x, y = (known.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "n", "odd")]) for k in "xy")
+    unlike = " + ".join(f"bit_count(odd_x[{k}] ^ odd_y[{k}])" for k in range(PARITIES // 64))
+    return x.join(y, "token").where(f"root_x < root_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * ({unlike}) <= n_x + n_y")
+
+
 def apart(named: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates (a, b), a < b, of named (content, root, n) that have different roots, every similar pair among them.
+    """Candidates (a, b), a < b, of named (content, root, n, odd) that have different roots, every similar pair among them.
 
-    texts: content, text; n: number of different shingles.
+    texts: content, text; n: number of different shingles; odd: their parities.
     """
     bounded_batches(texts.sparkSession)
     sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
@@ -166,9 +185,8 @@ def apart(named: DataFrame, texts: DataFrame) -> DataFrame:
     of_token = Window.partitionBy("token")
     several = lambda df, c: df.withColumn("__least", F.min(c).over(of_token)).withColumn("__most", F.max(c).over(of_token)).where("__least < __most").drop("__least", "__most")
     shared, _ = materialize(several(tokens, "content").distinct(), "shared-firsts")
-    known, _ = materialize(several(shared.join(named.select("content", "root", "n"), "content"), "root"), "firsts-of-several")
-    x, y = (known.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "n")]) for k in "xy")
-    both = x.join(y, "token").where("root_x < root_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
+    known, _ = materialize(several(shared.join(named.select("content", "root", "n", "odd"), "content"), "root"), "firsts-of-several")
+    both = meetings(known)
     counted = both.groupBy("content_x", "content_y").agg(F.count("*").alias("c"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
     # behind the first shingles of either there are ceil(0.8 n) - 1 more, of 4 / 9 (n + m) that a similar pair shares
     enough = counted.where("9 * (c + (4 * greatest(n, m) + 4) div 5 - 1) >= 4 * (n + m)")

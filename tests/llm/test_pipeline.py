@@ -181,3 +181,35 @@ def test_no_similar_pair_is_left_out(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(docs).collect()}
     assert len(similar.frequent_shingles(docs)) > 0
     assert got == similar_components(rows)
+
+
+def test_texts_with_only_a_passage_in_common_do_not_meet():
+    """Parities leave out no pair of similarity 0.8, and nearly all that share a passage only."""
+    import numpy as np
+
+    from tessera.llm import similar
+
+    rng = np.random.default_rng(9)
+    unlike = lambda a, b: int(np.bitwise_count((similar.parities(a) ^ similar.parities(b)).view(np.uint64)).sum())
+    for n in (1, 9, 40, 500, 3000):
+        same = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        own = [np.unique(np.r_[same, rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]) for _ in range(2)]
+        assert unlike(*own) <= sum(len(x) for x in own) - 2 * len(np.intersect1d(*own))
+    passage = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    others = [np.unique(np.r_[passage, rng.integers(0, 1 << 63, 400, dtype=np.uint64)]) for _ in range(30)]
+    assert all(9 * unlike(a, b) > len(a) + len(b) for i, a in enumerate(others) for b in others[:i])
+
+
+def test_the_join_of_first_shingles_makes_no_rows_of_a_common_passage(spark):
+    import numpy as np
+
+    from tessera.llm import similar
+
+    rng = np.random.default_rng(10)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 300)) + " " + passage) for k in range(40)]
+    rows += [(100, rows[0][1]), (101, rows[0][1] + " one more")]
+    found = similar.with_bands(spark.createDataFrame(rows, "content long, text string"), simhash.fingerprints)
+    known = found.select(F.lit(7).cast("long").alias("token"), "content", F.col("content").alias("root"), "n", "odd")
+    got = {(r["content_x"], r["content_y"]) for r in similar.meetings(known).collect()}
+    assert got == {(0, 100), (0, 101), (100, 101)}

@@ -262,3 +262,56 @@ def test_first_ids_that_share_a_vector_keep_their_own_pairs():
     chance = lm.Chances(counts)
     at = lambda a, b: math.exp(chance.logs(np.array([a]), np.array([b]))[0])
     assert at(60, 70) > 10 * at(61, 70) and at(61, 80) > 10 * at(60, 80)
+
+
+def with_head(lay, seed=12):
+    model = moved(lay)
+    model.head = np.random.default_rng(seed).normal(0, 0.5, (len(lay.tree.odds), 2 * lm.WIDTH)).astype(np.float32)
+    return model
+
+
+def test_the_attention_tells_ids_of_one_class_apart():
+    """Chances of all ids add up with a head; two texts before shift ids of one class against each other; without a head nothing changes."""
+    lay = layout()
+    model, every = with_head(lay), np.arange(lay.size)
+    first = [lay.end, 5, 9], [lay.end, 17, 9]
+    logs = []
+    for own in first:
+        rows = [lm.stream_scores(np.array(own), np.array([*own[1:], k]), np.array([3]), lay, model.tables(lay))[-1] for k in every.tolist()]
+        logs.append(np.array(rows))
+        assert np.exp(logs[-1]).sum() == pytest.approx(1.0, abs=1e-3)
+    apart = logs[0] - logs[1]
+    shifts = [np.ptp(apart[(lay.class_of == k) & (lay.tree.leaf_of > 0)]) for k in range(lm.BEGINNING)]
+    assert max(shifts) > 0.05
+    zero = moved(lay)
+    zero.head = np.zeros_like(model.head)
+    target = np.random.default_rng(2).integers(0, lay.size, 70)
+    plain, same = (lm.stream_scores(np.r_[lay.end, target[:-1]], target, np.array([70]), lay, m.tables(lay)) for m in (moved(lay), zero))
+    assert np.allclose(plain, same, atol=1e-5)
+
+
+def test_gradient_with_ways():
+    """Of the loss of classes and ways together, by the attention's numbers and by the head's, difference by difference."""
+    lay, rng = layout(), np.random.default_rng(5)
+    own = with_head(lay)
+    target = rng.integers(0, lay.size, (3, lm.LENGTH))
+    stream = np.concatenate([np.full((3, 1), lay.end), target[:, :-1]], 1)
+    s, used, ones = lay.slot_of[stream].astype(np.int64), np.arange(target.size), np.ones(target.size, np.float32)
+    _, g = own.gradient(s, used, lay.table[s.ravel()], lay.class_of[target].ravel().astype(np.int64), ones, lay.tree, lay.tree.leaf_of[target].ravel())
+    given = lay.table[s.ravel(), lay.class_of[target].ravel()]
+
+    def loss(flat, head):
+        tables = lm.Attention(lay.slots, flat, head).tables(lay)
+        return -np.mean(lm.class_scores(stream.ravel(), target.ravel(), np.full(3, lm.LENGTH), lay, tables)) + 0 * given.sum()
+
+    flat = own.flat.size
+    for i in rng.choice(np.flatnonzero(np.abs(g) > 2e-3), 30, replace=False):
+        moves = []
+        for by in (1e-2, -1e-2):
+            x, h = own.flat.copy(), own.head.copy()
+            if i < flat:
+                x[i] += np.float32(by)
+            else:
+                h.reshape(-1)[i - flat] += np.float32(by)
+            moves.append(loss(x, h))
+        assert (moves[0] - moves[1]) / 2e-2 == pytest.approx(g[i], rel=0.06, abs=4e-4)

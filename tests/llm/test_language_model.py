@@ -315,3 +315,21 @@ def test_gradient_with_ways():
                 h.reshape(-1)[i - flat] += np.float32(by)
             moves.append(loss(x, h))
         assert (moves[0] - moves[1]) / 2e-2 == pytest.approx(g[i], rel=0.06, abs=4e-4)
+
+
+def test_branches_by_level():
+    """Ways laid out level by level are those from the root to each leaf, and sums by place take in all levels."""
+    lay, rng = layout(), np.random.default_rng(3)
+    tree, leaf = lay.tree, lay.tree.leaf_of[rng.integers(0, lay.size, 200)]
+    there, sizes, row, node, sign = tree.levels(leaf)
+    assert sorted(there.tolist()) == np.flatnonzero(tree.depth[leaf]).tolist() and sizes.sum() == len(row) == tree.depth[leaf].sum()
+    for k, at in enumerate(there.tolist()):
+        first, n = tree.first[leaf[at]], tree.depth[leaf[at]]
+        assert node[row == k].tolist() == tree.node[first : first + n].tolist() and sign[row == k].tolist() == tree.sign[first : first + n].tolist()
+    x = rng.normal(0, 1, (len(row), 4)).astype(np.float32)
+    want, of_node = np.zeros((len(there), 4)), np.zeros((len(tree.odds), 4))
+    np.add.at(want, row, x)
+    np.add.at(of_node, node, x)
+    assert np.allclose(lm.by_place(x, sizes), want, atol=1e-5) and np.allclose(lm.summed(x, node, len(tree.odds)), of_node, atol=1e-5)
+    none = tree.levels(np.zeros(5, np.int32))
+    assert [len(part) for part in none] == [0] * 5 and lm.by_place(x[:0], none[1]).shape == (0, 4)

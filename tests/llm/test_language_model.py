@@ -333,3 +333,13 @@ def test_branches_by_level():
     assert np.allclose(lm.by_place(x, sizes), want, atol=1e-5) and np.allclose(lm.summed(x, node, len(tree.odds)), of_node, atol=1e-5)
     none = tree.levels(np.zeros(5, np.int32))
     assert [len(part) for part in none] == [0] * 5 and lm.by_place(x[:0], none[1]).shape == (0, 4)
+
+
+def test_exponentials_out_of_bounds_are_taken_again():
+    """Logits of any size: shares of a row are those of double precision."""
+    rng = np.random.default_rng(9)
+    for by in (1, 200):
+        z = (rng.normal(0, 1, (6, 8)) * by - np.array([0, 0, 300, -300, 0, 0])[:, None] * (by > 1)).astype(np.float32)
+        got, mass = lm.weighed(z.copy, np.ones(8, np.float32))
+        want = np.exp(z.astype(float) - z.max(1, keepdims=True).astype(float))
+        assert np.allclose(got / mass[:, None], want / want.sum(1, keepdims=True), rtol=2e-4, atol=1e-30)
